@@ -23,28 +23,42 @@ _EXACT = float(2**52)
 _LONG = 9.2e18
 
 
-def python_round(x: Column, ndigits: int = 3) -> Column:
-    """Round the exact binary value, ties to even.
+def with_rounded(df: DataFrame, columns: list[str], ndigits: int = 3) -> DataFrame:
+    """Replace double columns by their values rounded on the exact binary value, ties to even.
 
     ``F.round`` rounds the shortest decimal text of the double (1.0005 gives 1.001), the compared
     results are rounded on the binary value (1.0005 lies below the tie and gives 1.0). The product
-    x * 10**ndigits is taken as an exact sum of two doubles, so no Python worker is needed.
+    x * 10**ndigits is taken as an exact sum of two doubles, so no Python worker is needed. The
+    steps are separate projections: each value is computed once, inside one generated stage.
     """
     if not 0 <= ndigits <= 11:
         raise ValueError("ndigits must be between 0 and 11")
     scale = F.lit(float(10**ndigits))
-    x = x.cast("double")
-    spread = x * F.lit(_SPLITTER)
-    high = spread - (spread - x)
-    low = x - high
-    product = x * scale
-    error = (high * scale - product) + low * scale
-    below = F.floor(product).cast("double")
-    part = product - below
-    odd = F.pmod(below, F.lit(2.0)) == 1.0
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0.0) | ((error == 0.0) & odd)))
-    rounded = (below + F.when(up, 1.0).otherwise(0.0)) / scale
-    return F.when(F.abs(product) < _EXACT, rounded).otherwise(x)
+
+    def step(frame: DataFrame, make) -> DataFrame:
+        return frame.select("*", *[column for i, name in enumerate(columns) for column in make(i, F.col(name))])
+
+    def part(letter: str, i: int) -> Column:
+        return F.col(f"_{letter}{i}")
+
+    out = step(df, lambda i, x: [(x * scale).alias(f"_p{i}"), (x * F.lit(_SPLITTER)).alias(f"_s{i}")])
+    out = step(out, lambda i, x: [(part("s", i) - (part("s", i) - x)).alias(f"_h{i}"), F.floor(part("p", i)).cast("double").alias(f"_b{i}")])
+    out = step(
+        out,
+        lambda i, x: [
+            ((part("h", i) * scale - part("p", i)) + (x - part("h", i)) * scale).alias(f"_e{i}"),
+            (part("p", i) - part("b", i)).alias(f"_f{i}"),
+        ],
+    )
+
+    def rounded(i: int, name: str) -> Column:
+        tie = (part("e", i) > 0.0) | ((part("e", i) == 0.0) & (F.pmod(part("b", i), F.lit(2.0)) == 1.0))
+        up = (part("f", i) > 0.5) | ((part("f", i) == 0.5) & tie)
+        value = (part("b", i) + F.when(up, 1.0).otherwise(0.0)) / scale
+        return F.when(F.abs(part("p", i)) < _EXACT, value).otherwise(F.col(name)).alias(name)
+
+    place = {name: i for i, name in enumerate(columns)}
+    return out.select(*[rounded(place[c], c) if c in place else F.col(f"`{c}`") for c in df.columns])
 
 
 def _number_key(x: Column, ndigits: int) -> Column:
@@ -57,15 +71,13 @@ def _number_key(x: Column, ndigits: int) -> Column:
     )
 
 
-def cell(value: Column, dtype: T.DataType, never_equal: Column, ndigits: int = 3) -> Column:
-    """The cell of a value; ``never_equal`` is text unique to this cell, used as the key of NaN."""
+def _cell(value: Column, dtype: T.DataType, never_equal: Column, ndigits: int) -> Column:
     if isinstance(dtype, T.NullType):
         return F.struct(F.lit(TAGS["none"]).alias("tag"), F.lit("z").alias("key"))
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        number = python_round(value, ndigits)
+    if isinstance(dtype, T.DoubleType):
         tag = "float"
-        key = F.when(F.isnan(value.cast("double")), F.concat(F.lit("x"), never_equal)).otherwise(
-            F.concat(F.lit("n"), _number_key(number, ndigits))
+        key = F.when(F.isnan(value), F.concat(F.lit("x"), never_equal)).otherwise(
+            F.concat(F.lit("n"), _number_key(value, ndigits))
         )
     elif isinstance(dtype, T.BooleanType):
         tag, key = "bool", F.concat(F.lit("n"), value.cast("int").cast("string"))
@@ -87,15 +99,26 @@ def cell(value: Column, dtype: T.DataType, never_equal: Column, ndigits: int = 3
     )
 
 
-def row_cells(df: DataFrame, columns: list[str], identity: Column, ndigits: int = 3) -> Column:
-    """All cells of a row, in column order. ``identity`` is text unique to the row."""
+def with_cells(df: DataFrame, columns: list[str], identity: Column | None = None, ndigits: int = 3) -> DataFrame:
+    """Replace value columns by their cells. ``identity`` is text unique to the row; a NaN takes it
+    as its key, so that it equals nothing."""
     types = {field.name: field.dataType for field in df.schema.fields}
-    return F.array(
-        *[
-            cell(F.col(f"`{name}`"), types[name], F.concat_ws(":", identity, F.lit(str(place))), ndigits)
-            for place, name in enumerate(columns)
-        ]
+    floats = [c for c in columns if isinstance(types[c], (T.DoubleType, T.FloatType, T.DecimalType))]
+    safe = {name: f"_v{i}" for i, name in enumerate(columns)}
+    others = [c for c in df.columns if c not in safe]
+    identity = F.lit("") if identity is None else identity
+    typed = df.select(
+        *[F.col(f"`{c}`") for c in others],
+        identity.alias("_identity"),
+        *[(F.col(f"`{c}`").cast("double") if c in floats else F.col(f"`{c}`")).alias(safe[c]) for c in columns],
     )
+    rounded = with_rounded(typed, [safe[c] for c in floats], ndigits) if floats else typed
+    cells = []
+    for place, name in enumerate(columns):
+        dtype = T.DoubleType() if name in floats else types[name]
+        unique = F.concat_ws(":", "_identity", F.lit(str(place)))
+        cells.append(_cell(F.col(safe[name]), dtype, unique, ndigits).alias(name))
+    return rounded.select(*[F.col(f"`{c}`") for c in others], *cells)
 
 
 def ordered_keys(cells: Column) -> Column:
@@ -115,8 +138,11 @@ def bag_keys(cells: Column) -> Column:
 
 def counted_keys(keys: Column) -> Column:
     """Give each key its occurrence number, so that set operations respect multiplicity."""
-    ordered = F.array_sort(keys)
-    return F.transform(
-        ordered,
-        lambda key, i: F.struct(key.alias("key"), (i - F.array_position(ordered, key) + F.lit(2)).cast("int").alias("ord")),
-    )
+
+    def number(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda key, i: F.struct(key.alias("key"), (i - F.array_position(ordered, key) + F.lit(2)).cast("int").alias("ord")),
+        )
+
+    return F.transform(F.array(F.array_sort(keys)), number)[0]

@@ -50,12 +50,12 @@ def dense_index(
 def norm_cells(df: DataFrame, columns: list[str], ndigits: int = 3) -> DataFrame:
     """Turn value columns into cells. The frame must carry query_id, side, variant and row_idx."""
     identity = F.concat_ws(":", "query_id", "side", "variant", "row_idx")
-    return df.select(
+    return C.with_cells(df, columns, identity, ndigits).select(
         F.col("query_id").cast("string").alias("query_id"),
         "side",
         F.col("variant").cast("int").alias("variant"),
         F.col("row_idx").cast("bigint").alias("row_idx"),
-        C.row_cells(df, columns, identity, ndigits).alias("cells"),
+        F.array(*[F.col(f"`{c}`") for c in columns]).alias("cells"),
     )
 
 
