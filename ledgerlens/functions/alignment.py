@@ -1,38 +1,61 @@
-"""Small array kernels that run inside grouped Arrow tasks.
+"""Small array kernels that run inside Arrow tasks.
 
-One call sees one pair of result tables. Pairs above the row cap never come here, so a matrix has
-at most ROW_CAP x ROW_CAP entries.
+A task sees a batch of pairs of result tables, each bounded by the row cap, so a matrix has at most
+ROW_CAP x ROW_CAP entries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 _BLOCK = 4096
+_DIRECT = 1 << 20
+
+
+def _place(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the rows of each pair, and of the cells of each row."""
+    outer = rows.offsets.to_numpy()
+    inner = rows.values.offsets.to_numpy()
+    return outer, inner
+
 
+def overlaps(p: pa.ListArray, g: pa.ListArray) -> Iterator[np.ndarray]:
+    """Shared cells of every row pair, one matrix per pair of tables.
 
-def overlap_matrix(rows_p: pa.Array, rows_g: pa.Array) -> np.ndarray:
-    """Shared cells of every row pair. Rows are lists of occurrence-numbered cell keys, each
-    distinct within its row, so the overlap is a product of two 0/1 incidence matrices."""
-    n, m = len(rows_p), len(rows_g)
+    Rows are lists of occurrence-numbered cell keys, each distinct within its row. The keys of a
+    whole batch are coded once.
+    """
+    (rows_p, cells_p), (rows_g, cells_g) = _place(p), _place(g)
+    keys_p, keys_g = p.values.values, g.values.values
+    codes = pa.concat_arrays([keys_p, keys_g]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    codes_p, codes_g = codes[: len(keys_p)], codes[len(keys_p) :]
+    for k in range(len(p)):
+        edge_p, edge_g = cells_p[rows_p[k] : rows_p[k + 1] + 1], cells_g[rows_g[k] : rows_g[k + 1] + 1]
+        a, b = codes_p[edge_p[0] : edge_p[-1]], codes_g[edge_g[0] : edge_g[-1]]
+        yield _overlap(a, edge_p - edge_p[0], b, edge_g - edge_g[0])
+
+
+def _overlap(a: np.ndarray, edge_a: np.ndarray, b: np.ndarray, edge_b: np.ndarray) -> np.ndarray:
+    n, m = len(edge_a) - 1, len(edge_b) - 1
+    if a.size == 0 or b.size == 0:
+        return np.zeros((n, m), dtype=np.int64)
+    at_a, at_b = np.repeat(np.arange(n), np.diff(edge_a)), np.repeat(np.arange(m), np.diff(edge_b))
+    if a.size * b.size <= _DIRECT:
+        i, j = np.nonzero(a[:, None] == b[None, :])
+        return np.bincount(at_a[i] * m + at_b[j], minlength=n * m).reshape(n, m)
+    shared = np.intersect1d(a, b)
     out = np.zeros((n, m), dtype=np.float32)
-    if n == 0 or m == 0:
-        return out.astype(np.int64)
-    keys_p, keys_g = pc.list_flatten(rows_p), pc.list_flatten(rows_g)
-    at_p, at_g = (pc.list_parent_indices(r).to_numpy(zero_copy_only=False) for r in (rows_p, rows_g))
-    shared = pc.unique(keys_p)
-    shared = shared.filter(pc.is_in(shared, value_set=pc.unique(keys_g)))
-    code_p = pc.fill_null(pc.index_in(keys_p, value_set=shared), -1).to_numpy(zero_copy_only=False)
-    code_g = pc.fill_null(pc.index_in(keys_g, value_set=shared), -1).to_numpy(zero_copy_only=False)
-    for start in range(0, len(shared), _BLOCK):
-        width = min(_BLOCK, len(shared) - start)
-        a, b = np.zeros((n, width), np.float32), np.zeros((m, width), np.float32)
-        for matrix, code, at in ((a, code_p, at_p), (b, code_g, at_g)):
-            here = (code >= start) & (code < start + width)
-            matrix[at[here], code[here] - start] = 1.0
-        out += a @ b.T
+    for start in range(0, shared.size, _BLOCK):
+        some = shared[start : start + _BLOCK]
+        left, right = np.zeros((n, some.size), np.float32), np.zeros((m, some.size), np.float32)
+        for matrix, codes, at in ((left, a, at_a), (right, b, at_b)):
+            place = np.minimum(np.searchsorted(some, codes), some.size - 1)
+            here = some[place] == codes
+            matrix[at[here], place[here]] = 1.0
+        out += left @ right.T
     return np.rint(out).astype(np.int64)
 
 
@@ -62,6 +85,10 @@ def best_matching(overlap: np.ndarray) -> np.ndarray:
     if bidders.size == 0:
         return out
     small = overlap[bidders]
+    wish = small.argmax(axis=1)
+    if np.unique(wish).size == wish.size:
+        out[bidders] = wish
+        return out
     columns = np.arange(small.shape[1])
     if bidders.size < columns.size:
         columns = np.unique(np.argpartition(-small, bidders.size - 1, axis=1)[:, : bidders.size])

@@ -11,13 +11,18 @@ ROW_CAP rows take the soft score, as the row cap demands, and never form a group
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import alignment as A
+import ledgerlens
 from ledgerlens.functions import cells as C
+from ledgerlens.functions.alignment import best_in_order, best_matching, overlaps
 from ledgerlens.operators import rows as R
 from ledgerlens.operators.exact import row_counts
 from ledgerlens.operators.rows import PAIR
@@ -25,6 +30,9 @@ from ledgerlens.operators.soft import fbeta, soft_sums
 
 ROW_CAP = 1000
 
+# The kernels travel inside the task: workers need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(ledgerlens)
+
 
 def within_cap(n: Column, m: Column, cap: int = ROW_CAP) -> Column:
     return (n <= cap) & (m <= cap)
@@ -51,19 +59,27 @@ def _marks(cells: Column) -> Column:
     return F.transform(counted, lambda c: F.concat(c["key"], F.lit("\u0001"), c["ord"].cast("string")))
 
 
-def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
-    table = table.combine_chunks().sort_by([("row_idx", "ascending")])
-    is_pred = pa.compute.equal(table["side"], "p")
-    return table.filter(is_pred).combine_chunks(), table.filter(pa.compute.invert(is_pred)).combine_chunks()
+def _tables(rows: DataFrame, *extra: Column, place: bool = False) -> DataFrame:
+    """One line per pair: the marks of its rows on both sides, in row order.
+
+    Only pairs within the row cap come here, so a line is bounded. ``place`` adds the row numbers.
+    """
+
+    def gather(side: str) -> list[Column]:
+        one = F.when(F.col("side") == side, F.struct("row_idx", "marks"))
+        ordered = F.array_sort(F.collect_list(one))
+        return [F.transform(ordered, lambda r: r["marks"]).alias(side), F.transform(ordered, lambda r: r["row_idx"]).alias(f"{side}_at")]
+
+    columns = [c for side in ("p", "g") for c in gather(side)]
+    return rows.groupBy(*PAIR).agg(*(columns if place else columns[::2]), *extra)
 
 
-def _column(table: pa.Table, name: str) -> pa.Array:
-    column = table[name].combine_chunks()
-    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+def _lists(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.ListArray]:
+    return batch.column("p"), batch.column("g")
 
 
-def _head(table: pa.Table, count: int) -> dict:
-    return {name: pa.repeat(table[name][0], count) for name in PAIR}
+def _answer(batch: pa.RecordBatch, shared: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAIR), shared], names=[*PAIR, "shared"])
 
 
 def _small(sided: DataFrame, cap: int) -> DataFrame:
@@ -82,24 +98,24 @@ def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float
     sided = _small(R.pair_sides(results, pairs), cap)
     rows = sided.select(*PAIR, "side", "row_idx", "p_width", "g_width", _marks(F.col("cells")).alias("marks"))
 
-    def matrix(table: pa.Table) -> pa.Table:
-        p, g = _split(table)
-        shared = A.overlap_matrix(_column(p, "marks"), _column(g, "marks"))
-        return pa.table(
-            {
-                **_head(table, p.num_rows),
-                "row_idx": p["row_idx"],
-                "p_width": p["p_width"],
-                "g_width": p["g_width"],
-                "shared": pa.array([line.astype(np.int32) for line in shared], pa.list_(pa.int32())),
-            }
-        )
-
-    schema = "query_id string, variant int, row_idx bigint, p_width int, g_width int, shared array<int>"
-    return rows.groupBy(*PAIR).applyInArrow(matrix, schema).select(
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, g = _lists(batch)
+            lines = [[line.astype(np.int32) for line in shared] for shared in overlaps(p, g)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*PAIR, "p_at", "p_width", "g_width")), pa.array(lines, pa.list_(pa.list_(pa.int32())))],
+                names=[*PAIR, "p_at", "p_width", "g_width", "shared"],
+            )
+
+    schema = "query_id string, variant int, p_at array<bigint>, p_width int, g_width int, shared array<array<int>>"
+    tables = _tables(rows, F.max("p_width").alias("p_width"), F.max("g_width").alias("g_width"), place=True)
+    lines = tables.mapInArrow(matrices, schema).select(
+        *PAIR, "p_width", "g_width", F.explode(F.arrays_zip("p_at", "shared")).alias("line")
+    )
+    return lines.select(
         *PAIR,
-        "row_idx",
-        F.transform("shared", lambda c: pair_weight(c, F.col("p_width"), F.col("g_width"), beta)).alias("weights"),
+        F.col("line.p_at").alias("row_idx"),
+        F.transform("line.shared", lambda c: pair_weight(c, F.col("p_width"), F.col("g_width"), beta)).alias("weights"),
     )
 
 
@@ -137,12 +153,13 @@ def align_ordered(sided: DataFrame, cap: int = ROW_CAP, spans: DataFrame | None
         .select(*PAIR, "side", "row_idx", "cut", _marks(F.col("cells")).alias("marks"))
     )
 
-    def recur(table: pa.Table) -> pa.Table:
-        p, g = _split(table)
-        best = A.best_in_order(A.overlap_matrix(_column(p, "marks"), _column(g, "marks")))
-        return pa.table({**_head(table, 1), "shared": [best + table["cut"][0].as_py()]})
+    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, g = _lists(batch)
+            yield _answer(batch, pc.add(batch.column("cut"), pa.array([best_in_order(c) for c in overlaps(p, g)], pa.int64())))
 
-    return open_rows.groupBy(*PAIR).applyInArrow(recur, "query_id string, variant int, shared bigint")
+    tables = _tables(open_rows, F.max("cut").cast("bigint").alias("cut"))
+    return tables.mapInArrow(recur, "query_id string, variant int, shared bigint")
 
 
 def equal_shared() -> Column:
@@ -171,20 +188,19 @@ def align_unordered(sided: DataFrame, cap: int = ROW_CAP, counts: DataFrame | No
     )
     equal = peeled.groupBy(*PAIR).agg(F.sum(F.col("both") * F.size("marks")).alias("equal"))
 
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        cp, cg = (table[c].to_numpy() for c in ("cp", "cg"))
-        p, g = np.repeat(np.arange(len(cp)), cp), np.repeat(np.arange(len(cg)), cg)
-        best = 0
-        if p.size and g.size:
-            marks = _column(table, "marks")
-            shared = A.overlap_matrix(marks.take(pa.array(p)), marks.take(pa.array(g)))
-            held = A.best_matching(shared)
-            best = int(shared[np.flatnonzero(held >= 0), held[held >= 0]].sum())
-        return pa.table({**_head(table, 1), "inner": [best]})
-
-    rest = peeled.where("cp + cg > 0").select(*PAIR, "marks", "cp", "cg")
-    inner = rest.groupBy(*PAIR).applyInArrow(solve, "query_id string, variant int, inner bigint")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for shared in overlaps(*_lists(batch)):
+                held = best_matching(shared)
+                best.append(int(shared[np.flatnonzero(held >= 0), held[held >= 0]].sum()))
+            yield _answer(batch, pa.array(best, pa.int64()))
+
+    rest = peeled.where("cp + cg > 0").groupBy(*PAIR).agg(
+        *[F.flatten(F.collect_list(F.array_repeat("marks", F.col(c)))).alias(side) for c, side in (("cp", "p"), ("cg", "g"))]
+    )
+    open_pairs = rest.where((F.size("p") > 0) & (F.size("g") > 0))
+    inner = open_pairs.mapInArrow(solve, "query_id string, variant int, shared bigint").withColumnRenamed("shared", "inner")
     zero = F.lit(0).cast("bigint")
     return R.merge_pairs(equal, inner).select(
         *PAIR, (F.coalesce("equal", zero) + F.coalesce("inner", zero)).alias("shared")
@@ -205,15 +221,19 @@ def match_assignment(sided: DataFrame, cap: int = ROW_CAP) -> DataFrame:
         *PAIR, F.when(F.col("g").isNull(), "p").otherwise("g").alias("side"), F.coalesce("p", "g").alias("row_idx"), "marks"
     )
 
-    def solve(table: pa.Table) -> pa.Table:
-        p, g = _split(table)
-        held = A.best_matching(A.overlap_matrix(_column(p, "marks"), _column(g, "marks")))
-        places = g["row_idx"].to_numpy()
-        partner = np.array([places[j] if j >= 0 else -1 for j in held], dtype=np.int64)
-        return pa.table({**_head(table, p.num_rows), "row_idx": p["row_idx"], "partner": partner})
-
-    schema = "query_id string, variant int, row_idx bigint, partner bigint"
-    return equal.unionByName(rest.groupBy(*PAIR).applyInArrow(solve, schema))
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            partners = []
+            for shared, at in zip(overlaps(*_lists(batch)), batch.column("g_at")):
+                places = np.array(at.as_py() + [-1], dtype=np.int64)
+                partners.append(places[best_matching(shared)])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*PAIR, "p_at")), pa.array(partners, pa.list_(pa.int64()))], names=[*PAIR, "p_at", "partners"]
+            )
+
+    schema = "query_id string, variant int, p_at array<bigint>, partners array<bigint>"
+    solved = _tables(rest, place=True).mapInArrow(solve, schema).select(*PAIR, F.explode(F.arrays_zip("p_at", "partners")).alias("line"))
+    return equal.unionByName(solved.select(*PAIR, F.col("line.p_at").alias("row_idx"), F.col("line.partners").alias("partner")))
 
 
 # -- score -----------------------------------------------------------------------------------
