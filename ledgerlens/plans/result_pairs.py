@@ -20,27 +20,21 @@ from ledgerlens.sources.tables import table
 
 
 def months_base(spark: SparkSession, folder: str) -> DataFrame:
-    """Month totals per nation. Each join meets a side already summed by its key, so a hot key
-    arrives as at most one row per month."""
+    """Month totals per nation."""
     price = F.col("l_extendedprice").cast("decimal(12,2)")
-    sums = [
-        F.sum("amt").cast("decimal(28,2)").alias("amt"),
-        F.sum("amt_nr").cast("decimal(28,2)").alias("amt_nr"),
-        F.sum("n").alias("n"),
-    ]
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey",
         F.date_format("l_shipdate", "yyyyMM").alias("period"),
         price.alias("amt"),
         F.when(F.col("l_returnflag") != "R", price).otherwise(F.lit(0).cast("decimal(12,2)")).alias("amt_nr"),
-        F.lit(1).alias("n"),
     )
-    by_order = lines.groupBy("l_orderkey", "period").agg(*sums)
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    by_customer = by_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "period").agg(*sums)
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    owned = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     by_nation = (
-        by_customer.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "period").agg(*sums)
+        lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("c_nationkey", "period")
+        .agg(F.sum("amt").alias("amt"), F.sum("amt_nr").alias("amt_nr"), F.count("*").alias("n"))
     )
     nations = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")

@@ -1,8 +1,10 @@
-"""Monthly measures of the star schema, summed on the way to the asked dimensions.
+"""Monthly measures of the star schema.
 
-Every join meets a side already summed by the join key, so a key that holds a large share of the
-lines arrives as one row per month. Amounts are decimals: sums do not depend on the order in which
-partitions are merged, and a retried task adds nothing new.
+Only the tables of the asked dimensions are joined, with the columns they give; Spark broadcasts
+those that are small and shuffles the others. A key that holds a large share of the lines makes a
+skewed sort-merge join, which adaptive execution splits (on by default, see ``session``); after the
+joins lines are summed before they are shuffled again. Amounts are decimals: sums do not depend on
+the order in which partitions are merged, so a retried task changes nothing.
 """
 
 from __future__ import annotations
@@ -13,71 +15,57 @@ from pyspark.sql import functions as F
 from ledgerlens.sources.tables import table
 
 MONEY = "decimal(28,4)"
-MEASURES = ("rev_eq", "rev_sv", "cost_eq", "cost_sv", "tax")
 PRODUCT = ("p_type", "p_brand", "p_name")
 CUSTOMER = ("c_mktsegment", "c_custkey")
 REGION = ("r_name", "n_name")
 
 
-def _sum(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(c).cast(MONEY).alias(c) for c in columns])
-
-
 def monthly(spark: SparkSession, folder: str, dims: list[str], cost: bool = False) -> DataFrame:
     """period, dims, rev_eq and rev_sv; with ``cost`` also cost_eq, cost_sv and tax."""
     product = [d for d in dims if d in PRODUCT]
     customer = [d for d in dims if d in CUSTOMER]
     region = [d for d in dims if d in REGION]
-    by_order = bool(customer or region or "l_orderkey" in dims)
-    by_part = bool(product or cost)
+    by_order, by_part = bool(customer or region), bool(product or cost)
     ids = ["l_orderkey"] * by_order + ["l_partkey"] * by_part + ["l_suppkey"] * ("s_name" in dims)
-    equipment = F.col("l_linestatus") == "F"
-    zero = F.lit(0).cast("decimal(16,4)")
-    revenue = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount")).cast("decimal(3,2)")
-    values = {"rev_eq": F.when(equipment, revenue).otherwise(zero), "rev_sv": F.when(equipment, zero).otherwise(revenue)}
+    values = [F.col("l_linestatus").alias("status"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price")]
+    values.append((1 - F.col("l_discount")).cast("decimal(3,2)").alias("kept"))
     if cost:
-        quantity = F.col("l_quantity").cast("decimal(12,2)")
-        none = F.lit(0).cast("decimal(12,2)")
-        values["cost_eq"] = F.when(equipment, quantity).otherwise(none)
-        values["cost_sv"] = F.when(equipment, none).otherwise(quantity)
-        values["tax"] = F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_tax").cast("decimal(3,2)")
-    columns = list(values)
-    lines = table(spark, folder, "lineitem").select(
-        *ids, F.date_format("l_shipdate", "yyyyMM").alias("period"), *[v.alias(k) for k, v in values.items()]
-    )
-    out = _sum(lines, [*ids, "period"], columns)
+        values += [F.col("l_quantity").cast("decimal(6,2)").alias("quantity"), F.col("l_tax").cast("decimal(3,2)").alias("rate")]
+    out = table(spark, folder, "lineitem").select(*ids, F.date_format("l_shipdate", "yyyyMM").alias("period"), *values)
     if by_part:
-        parts = table(spark, folder, "part").select("p_partkey", *product, F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
-        priced = out.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        if cost:
-            for name in ("cost_eq", "cost_sv"):
-                priced = priced.withColumn(name, (F.col(name).cast("decimal(18,2)") * F.col("price")).cast(MONEY))
-        ids = [c for c in ids if c != "l_partkey"]
-        out = _sum(priced, [*ids, *product, "period"], columns)
+        unit = [F.col("p_retailprice").cast("decimal(10,2)").alias("unit")] if cost else []
+        parts = table(spark, folder, "part").select("p_partkey", *product, *unit)
+        out = out.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     if "s_name" in dims:
         suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")
-        ids = [c for c in ids if c != "l_suppkey"]
-        out = _sum(out.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")), [*ids, *product, "s_name", "period"], columns)
-    have = [*product, *(["s_name"] if "s_name" in dims else [])]
-    if customer or region:
-        keep = ["l_orderkey"] if "l_orderkey" in dims else []
+        out = out.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    if by_order:
         orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-        out = _sum(out.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), [*keep, *have, "o_custkey", "period"], columns)
-        customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        out = _sum(
-            out.join(customers, F.col("o_custkey") == F.col("c_custkey")),
-            [*keep, *have, *customer, "c_nationkey", "period"],
-            columns,
-        )
-        have = [*keep, *have, *customer]
-    if region:
-        nations = (
-            table(spark, folder, "nation")
-            .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", *region)
-        )
-        out = out.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return _sum(out, ["period", *dims], columns)
+        buyers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        if region:
+            nations = (
+                table(spark, folder, "nation")
+                .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+                .select("n_nationkey", *region)
+            )
+            buyers = buyers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        buyers = buyers.select("c_custkey", *[d for d in customer if d != "c_custkey"], *region)
+        owned = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        out = out.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
+    equipment = F.col("status") == "F"
+
+    def parted(name: str, value) -> list:
+        none = F.lit(0).cast("decimal(16,4)")
+        return [
+            F.sum(F.when(equipment, value).otherwise(none)).cast(MONEY).alias(f"{name}_eq"),
+            F.sum(F.when(equipment, none).otherwise(value)).cast(MONEY).alias(f"{name}_sv"),
+        ]
+
+    sums = parted("rev", F.col("price") * F.col("kept"))
+    if cost:
+        sums += parted("cost", F.col("quantity") * F.col("unit"))
+        sums.append(F.sum(F.col("price") * F.col("rate")).cast(MONEY).alias("tax"))
+    return out.groupBy("period", *dims).agg(*sums)
 
 
 def revenue(spark: SparkSession, folder: str, dims: list[str]) -> DataFrame:
