@@ -29,6 +29,7 @@ from ledgerlens.operators.rows import PAIR
 from ledgerlens.operators.soft import fbeta, soft_sums
 
 ROW_CAP = 1000
+_EMIT = 1 << 22  # weights per outgoing batch; incoming batches are bounded in bytes by Spark
 
 # The kernels travel inside the task: workers need numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(ledgerlens)
@@ -100,12 +101,15 @@ def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, g = _lists(batch)
-            lines = [[line.astype(np.int32) for line in shared] for shared in overlaps(p, g)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*PAIR, "p_at", "p_width", "g_width")), pa.array(lines, pa.list_(pa.list_(pa.int32())))],
-                names=[*PAIR, "p_at", "p_width", "g_width", "shared"],
-            )
+            first, size, lines = 0, 0, []
+            for k, shared in enumerate(overlaps(*_lists(batch)), 1):
+                lines.append([line.astype(np.int32) for line in shared])
+                size += shared.size
+                if size >= _EMIT or k == batch.num_rows:
+                    kept = [batch.column(c).slice(first, k - first) for c in (*PAIR, "p_at", "p_width", "g_width")]
+                    weights = pa.array(lines, pa.list_(pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays([*kept, weights], names=[*PAIR, "p_at", "p_width", "g_width", "shared"])
+                    first, size, lines = k, 0, []
 
     schema = "query_id string, variant int, p_at array<bigint>, p_width int, g_width int, shared array<array<int>>"
     tables = _tables(rows, F.max("p_width").alias("p_width"), F.max("g_width").alias("g_width"), place=True)

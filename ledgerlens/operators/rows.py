@@ -91,27 +91,36 @@ def pair_list(results: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     An empty table has no rows in ``results``. ``runs(query_id, side, variant)`` lists the tables
     that exist; without it, the tables with rows are taken.
     """
-    sizes = table_sizes(results)
-    tables = sizes.select("query_id", "side", "variant") if runs is None else runs.select("query_id", "side", "variant")
-    gold = tables.where("side = 'g'").select("query_id", "variant")
+    sizes = table_sizes(results).withColumn("listed", F.lit(runs is None))
     if runs is not None:
-        pred_tables = tables.where("side = 'p'").select("query_id")
-        gold = gold.join(pred_tables, "query_id", "left_semi")
-    gold_sizes = sizes.where("side = 'g'").select("query_id", "variant", F.col("n_rows").alias("m"), F.col("width").alias("g_width"))
-    pred_sizes = sizes.where("side = 'p'").select("query_id", F.col("n_rows").alias("n"), F.col("width").alias("p_width"))
-    zero = F.lit(0)
-    return (
-        gold.join(gold_sizes, ["query_id", "variant"], "left")
-        .join(pred_sizes, "query_id", "left")
-        .select(
-            "query_id",
-            "variant",
-            F.coalesce("n", zero.cast("bigint")).alias("n"),
-            F.coalesce("m", zero.cast("bigint")).alias("m"),
-            F.coalesce("p_width", zero).alias("p_width"),
-            F.coalesce("g_width", zero).alias("g_width"),
+        empty = runs.select("query_id", "side", "variant", F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).alias("width"))
+        sizes = (
+            sizes.unionByName(empty.withColumn("listed", F.lit(True)))
+            .groupBy("query_id", "side", "variant")
+            .agg(F.max("n_rows").alias("n_rows"), F.max("width").alias("width"), F.bool_or("listed").alias("listed"))
+        )
+    is_pred = F.col("side") == "p"
+    gold = F.struct("variant", F.col("n_rows").alias("m"), F.col("width").alias("g_width"))
+    queries = (
+        sizes.where("listed")
+        .groupBy("query_id")
+        .agg(
+            F.max(F.when(is_pred, F.col("n_rows"))).alias("n"),
+            F.max(F.when(is_pred, F.col("width"))).alias("p_width"),
+            F.collect_list(F.when(~is_pred, gold)).alias("gold"),
         )
     )
+    if runs is not None:
+        queries = queries.where("n IS NOT NULL")
+    zero = F.lit(0)
+    return queries.select("query_id", "n", "p_width", F.explode("gold").alias("g")).select(
+        "query_id",
+        "g.variant",
+        F.coalesce("n", zero.cast("bigint")).alias("n"),
+        "g.m",
+        F.coalesce("p_width", zero).alias("p_width"),
+        "g.g_width",
+    )
 
 
 PAIR = ["query_id", "variant"]
@@ -126,11 +135,13 @@ def pair_sides(results: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     last = F.shiftright(F.greatest(F.col("n"), F.col("m"), F.lit(1)) - 1, CHUNK_BITS)
     chunks = pairs.select(*PAIR, *SIZES, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_chunk"))
-    cut = results.withColumn("_chunk", F.shiftright("row_idx", CHUNK_BITS))
-    columns = [*PAIR, "side", "row_idx", "cells", *SIZES]
-    gold = cut.where("side = 'g'").join(chunks, [*PAIR, "_chunk"]).select(*columns)
-    pred = cut.where("side = 'p'").drop("variant").join(chunks, ["query_id", "_chunk"]).select(*columns)
-    return gold.unionByName(pred)
+    cut = results.withColumn("_chunk", F.shiftright("row_idx", CHUNK_BITS)).alias("r")
+    same = (
+        (F.col("r.query_id") == F.col("c.query_id"))
+        & (F.col("r._chunk") == F.col("c._chunk"))
+        & ((F.col("r.side") == "p") | (F.col("r.variant") == F.col("c.variant")))
+    )
+    return cut.join(chunks.alias("c"), same).select("c.query_id", "c.variant", "r.side", "r.row_idx", "r.cells", *[f"c.{x}" for x in SIZES])
 
 
 def by_position(sided: DataFrame) -> DataFrame:
