@@ -5,7 +5,7 @@ All rows of a result table have one width, so the F-beta of a row pair with c sh
 the whole number c and serve every beta.
 
 Spark does the bulk: equal rows are matched by counting (unordered) or cut off at both ends
-(ordered), and only what is left of a pair goes to a grouped Arrow task. Pairs with a side above
+(ordered), and only what is left of a pair goes to an Arrow task, many pairs per batch. Pairs with a side above
 ROW_CAP rows take the soft score, as the row cap demands, and never form a group.
 """
 
