@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import secret_scan
+from ledgerlens.llm import secret_scan, simhash
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
 
@@ -14,3 +14,8 @@ registry = Registry()
 @registry.add("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(documents(spark, sf_dir))
+
+
+@registry.add("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
