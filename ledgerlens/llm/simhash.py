@@ -122,7 +122,7 @@ def plant(sample: np.ndarray, levels: int) -> list[Tree]:
             part = np.int64(_signed(mask))
             spread = []
             for point in candidates:
-                sizes = np.bincount(np.bitwise_count((sample ^ point) & part), minlength=width + 1)
+                sizes = np.bincount(np.bitwise_count(((sample ^ point) & part).view(np.uint64)), minlength=width + 1)
                 spread.append(int((sizes.astype(np.int64) ** 2).sum()))
             masks.append(_signed(mask))
             points.append(int(candidates[int(np.argmin(spread))]))
@@ -153,7 +153,8 @@ def placed(classes: DataFrame, trees: list[Tree]) -> DataFrame:
 
 def _links(radius: int):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        fp, rep = rows["fp"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
+        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)  # bits are counted on unsigned numbers
+        rep = rows["rep"].to_numpy(np.int64)
         ids, node = np.unique(rep, return_inverse=True)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for query, home in candidate_blocks(rows["part"].to_numpy(np.int64), rows["cell"].to_numpy(np.int64), rows["at_home"].to_numpy(bool)):
