@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import secret_scan, simhash
+from ledgerlens.llm import quality_rules, secret_scan, simhash
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
 
@@ -19,3 +19,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@registry.add("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
