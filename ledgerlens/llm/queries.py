@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import quality_rules, secret_scan, simhash
+from ledgerlens.llm import quality_rules, secret_scan, simhash, toxicity
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
+from ledgerlens.sources.tables import table
 
 registry = Registry()
 
@@ -24,3 +25,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
+
+
+@registry.add("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
