@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import stage
+
 #: Rows of a group that one task call handles.
 GROUP_ROWS = 16_384
 
@@ -20,12 +22,14 @@ GROUP_ROWS = 16_384
 def compare_in_cells(rows: DataFrame, row_id: str, kernel: Callable, schema: str, chunk: int, total: int) -> DataFrame:
     """``rows`` has ``cell bigint``, ``at_home boolean`` and the payload. ``kernel`` takes a pandas frame of whole (cell, chunk)
     groups, with the number of the group in ``part``, and returns a frame of ``schema``. ``total`` sizes the groups."""
-    crowded = (
+    # written first, so that the planner knows its size: few crowded cells are broadcast, many are joined by shuffle
+    crowded = stage(
         rows.groupBy("cell")
         .agg(F.count_if("at_home").alias("n_home"), F.count_if(~F.col("at_home")).alias("n_query"))
         .where((F.col("n_home") > chunk) | (F.col("n_query") > chunk))
         .where("n_home > 0")
-        .select("cell", F.ceil(F.col("n_home") / chunk).cast("int").alias("h"), F.ceil(F.greatest("n_query", F.lit(1)) / chunk).cast("int").alias("q"))
+        .select("cell", F.ceil(F.col("n_home") / chunk).cast("int").alias("h"), F.ceil(F.greatest("n_query", F.lit(1)) / chunk).cast("int").alias("q")),
+        "crowded",
     )
     one = F.lit(1)
     spread = F.xxhash64(row_id)

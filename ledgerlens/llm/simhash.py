@@ -42,10 +42,11 @@ BLOCK_SHINGLES = 65_536
 SAMPLE = 4_096
 #: Home or query rows of one shard that meet in one group.
 CHUNK = 1_024
-#: Levels per half and the share of random pairs that meet in a shard or its neighbours; the least depth that keeps a query under
-#: this many expected partners is taken.
+#: Levels per half and the share of random pairs that meet in a shard or its neighbours. A level costs a shuffled row per
+#: fingerprint and tree, about as much as a thousand comparisons, so the least depth is taken that keeps the comparisons
+#: of a fingerprint under PARTNERS. Every depth gives the same links.
 DEPTHS = ((4, 2e-2), (8, 4.3e-4), (16, 3.4e-6), (32, 8e-9))
-PARTNERS = 64
+PARTNERS = 8_192
 
 
 def fingerprint(text: str | None) -> int:
