@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import quality_rules, secret_scan, simhash, toxicity
+from ledgerlens.llm import packing, quality_rules, secret_scan, simhash, toxicity
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
 from ledgerlens.sources.tables import table
@@ -31,3 +31,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@registry.add("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
