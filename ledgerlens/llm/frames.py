@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.sources.tables import table
 
@@ -28,10 +29,10 @@ def text_rows(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
         yield from zip(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in columns])
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, kernel: Callable[[tuple], tuple]) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, kernel: Callable[[tuple], tuple]) -> DataFrame:
     """Apply ``kernel`` to every row of the named columns. Rows keep their partition; nothing is shuffled."""
     chosen = df.select(*[F.col(f"`{c}`") for c in columns])
-    target = chosen.sparkSession.createDataFrame([], schema).schema
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = [f.name for f in target.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
