@@ -52,7 +52,7 @@ def splitter(pattern: str):
     import regex
 
     # White space is what Unicode says, not what Python's str.isspace says.
-    space = r"\x09-\x0d\x20\x85\xa0  -     　"
+    space = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
 
 
@@ -164,8 +164,8 @@ def _vocabulary_path(path: str | None) -> tuple[str, str]:
 
 
 def token_bytes(spark: SparkSession, table: dict[bytes, int]) -> DataFrame:
-    """The token-byte table (id, bytes): one row per entry of the vocabulary."""
-    return spark.createDataFrame(pd.DataFrame({"id": list(table.values()), "bytes": list(table)}), "id int, bytes binary")
+    """The token-byte table (id, bytes in hex): one row per entry of the vocabulary."""
+    return spark.createDataFrame([(i, b.hex()) for b, i in table.items()], "id int, hex string")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -184,9 +184,9 @@ def decode_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
     placed = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
     # the table has one row per entry of the vocabulary, whatever the corpus
     joined = placed.join(F.broadcast(vocabulary), "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "bytes"))), lambda x: x["bytes"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "hex"))), lambda x: x["hex"])
     return joined.groupBy("word").agg(
-        F.first("ids").alias("ids"), F.aggregate(ordered, F.lit(b""), lambda whole, x: F.concat(whole, x)).alias("decoded")
+        F.first("ids").alias("ids"), F.unhex(F.array_join(ordered, "")).alias("decoded")
     )
 
 
@@ -229,6 +229,6 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     words = parts.where("word IS NOT NULL").select("block", "number", "word")
     encoded = encode_words(words.select("word").distinct(), path)
     decoded = decode_words(encoded, token_bytes(spark, ranks(path)))
-    known = words.join(decoded, "word").select("block", "number", "ids", "decoded")
+    known = words.join(decoded, "word").select(F.col("block").alias("of_block"), "number", "ids", "decoded")
     texts = parts.where("word IS NULL").select("block", "doc_id", "places")
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_assemble, _RESULT)
+    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(_assemble, _RESULT)

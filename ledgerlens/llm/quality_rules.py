@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import column_or, map_rows, text_rows
+from ledgerlens.llm.frames import column_or, has_column, keep_rows, map_rows, text_rows
 from ledgerlens.session import stage
 
 #: Common words of a language.
@@ -250,17 +250,24 @@ OUTPUT = (
 )
 
 
+def judged(text: str | None, lang: str | None, known: dict[str | None, Reference], limits: Limits) -> tuple:
+    """Base counts, verdict and both distances of one text."""
+    data = (text or "").encode("utf-8")
+    counts = base_counts(data)
+    by_chars, by_words = distances(data, known.get(lang) or known[None], limits)
+    far = (by_chars or 0) > limits.chars or (by_words or 0) > limits.words
+    return *counts, not counts[-1] and not far, by_chars, by_words
+
+
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document with the base counts, both distances and the verdict."""
     known = references(docs)
+    shaped = docs.select("doc_id", "text", column_or(docs, "lang", F.lit(None).cast("string")).cast("string").alias("lang"))
+    return map_rows(shaped, ["doc_id", "text", "lang"], OUTPUT, lambda r: (r[0], *judged(r[1], r[2], known, limits)))
 
-    def verdict(row: tuple) -> tuple:
-        doc, text, lang = row
-        data = (text or "").encode("utf-8")
-        counts = base_counts(data)
-        by_chars, by_words = distances(data, known.get(lang) or known[None], limits)
-        far = (by_chars or 0) > limits.chars or (by_words or 0) > limits.words
-        return doc, *counts, not counts[-1] and not far, by_chars, by_words
 
-    shaped = docs.select("doc_id", "text", column_or(docs, "lang", F.lit(None).cast("string")).cast("string").alias("lang"))
-    return map_rows(shaped, ["doc_id", "text", "lang"], OUTPUT, verdict)
+def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns."""
+    known = references(docs)
+    columns = ["text", "lang"] if has_column(docs, "lang") else ["text"]
+    return keep_rows(docs, columns, lambda r: judged(r[0], str(r[1]) if r[1:] and r[1] is not None else None, known, limits)[-3])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing, pii, quality_rules, secret_scan, simhash, toxicity
+from ledgerlens.llm import bpe, packing, pii, quality_rules, secret_scan, simhash, toxicity
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
 from ledgerlens.sources.tables import table
@@ -41,3 +41,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
+
+
+@registry.add("op8_byte_level_bpe")
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))

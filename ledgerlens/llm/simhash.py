@@ -181,16 +181,42 @@ def near_links(classes: DataFrame, radius: int = RADIUS, levels: int | None = No
     return compare_in_cells(placed(classes, trees), "fp", _links(radius), "a bigint, b bigint", chunk, count * 2 * (2 + levels))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, levels: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_copies (rows with that fingerprint)."""
-    prints = stage(fingerprints(docs), "fingerprints")
+def grouped(prints: DataFrame, radius: int, levels: int | None, chunk: int) -> DataFrame:
+    """(fp, n_copies, component_id) of every fingerprint in ``prints(doc_id, fp)``."""
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     known = classes.where("rep IS NOT NULL").select("fp", "rep")
     roots = components(near_links(known, radius, levels, chunk))
-    rooted = (
-        classes.join(roots, classes["rep"] == roots["node"], "left")
-        .select("fp", "n_copies", F.coalesce("root", "rep").alias("component_id"))
-    )
-    return prints.join(rooted, "fp").select(
+    return classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "n_copies", F.coalesce("root", "rep").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, levels: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), n_copies (rows with that fingerprint)."""
+    prints = stage(fingerprints(docs), "fingerprints")
+    return prints.join(grouped(prints, radius, levels, chunk), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies"
     )
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, levels: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """One document of each group, with all its columns: the one whose id is the component's, of several the smallest row.
+
+    Only ids are needed to know which documents stay; texts move once, for those that do.
+    """
+    prints = stage(fingerprints(docs), "fingerprints")
+    groups = stage(grouped(prints, radius, levels, chunk), "groups")
+    # ids that stay are ids of the components; rows without an id stay if nothing in their class has one
+    staying = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("__id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.join(staying, docs["doc_id"] == staying["__id"], "left_semi").groupBy("doc_id").agg(F.min(row).alias("__row"))
+    orphans = groups.where("component_id IS NULL").select("fp")
+    loose = docs.where("doc_id IS NULL").select(row.alias("__row"), _fingerprint_column()(F.col("text")).alias("fp"))
+    loose = loose.join(orphans, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__row"))
+    return named.select("__row").unionByName(loose.select("__row")).select(*[F.col(f"__row.`{c}`") for c in docs.columns])
+
+
+def _fingerprint_column():
+    @F.pandas_udf("bigint")
+    def column(texts: pd.Series) -> pd.Series:
+        return texts.map(fingerprint).astype("int64")
+
+    return column

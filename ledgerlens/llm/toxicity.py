@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import map_rows, text_rows
+from ledgerlens.llm.frames import keep_rows, map_rows, text_rows
 
 HASH_BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -209,3 +209,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def passing(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model does not call toxic, with all their columns."""
+    return keep_rows(docs, ["text"], lambda r: model.score(r[0]) < 0.5)
