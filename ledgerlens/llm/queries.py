@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, packing, pii, quality_rules, secret_scan, simhash, toxicity
+from ledgerlens.llm import bpe, chat_format, embedding_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, toxicity
 from ledgerlens.llm.frames import documents
 from ledgerlens.plans.registry import Registry
 from ledgerlens.sources.tables import table
@@ -46,3 +46,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op8_byte_level_bpe")
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
+
+
+@registry.add("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@registry.add("op4_embedding_near_dedup")
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@registry.add("op5_chat_formatting")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
