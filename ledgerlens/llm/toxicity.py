@@ -197,18 +197,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         steps, counts, total = (np.frombuffer(zlib.decompress(x), dtype=np.int32) if isinstance(x, (bytes, bytearray)) else x for x in packed[:3])
         return np.cumsum(steps, dtype=np.int32), (counts / np.sqrt(total) * SCALE).astype(np.float32)
 
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in text_rows(batch, ["steps", "counts", "total", "toxic"])]
+        y = np.array([row[3] for row in rows])
+        # every class weighs as its rows do, the smaller one more by half of the way to balance
+        taken = {k: int((y == k).sum()) for k in sizes}
+        each = {0: sizes[0] / taken[0], 1: sizes[1] / taken[1] * (0.5 + 0.5 * sizes[0] / sizes[1])}
+        weight = np.where(y == 1, each[1], each[0])
+        model = fit_logistic([unpacked(row) for row in rows], y, weight / weight.mean(), ratio)
+        columns = [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.intercept], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["weights", "intercept"])
+
     parts = []
     for kind in (0, 1):
         chosen = training.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
         parts.append(map_rows(chosen, ["text", "toxic"], "steps binary, counts binary, total bigint, toxic int", rates))
-    rows = parts[0].unionByName(parts[1]).collect()
-    y = np.array([r["toxic"] for r in rows])
-    # every class weighs as its rows do, the smaller one more by half of the way to balance
-    taken = {k: int((y == k).sum()) for k in sizes}
-    each = {0: sizes[0] / taken[0], 1: sizes[1] / taken[1] * (0.5 + 0.5 * sizes[0] / sizes[1])}
-    weight = np.where(y == 1, each[1], each[0])
-    vectors = [unpacked(r) for r in rows]
-    return fit_logistic(vectors, y, weight / weight.mean(), ratio)
+    # at most 2 * sample rows, in a fixed order; one task fits them, the driver sees the weights only
+    drawn = parts[0].unionByName(parts[1]).coalesce(1).sortWithinPartitions("toxic", F.xxhash64("steps", "counts"))
+    fitted = drawn.mapInArrow(fit, "weights binary, intercept double").collect()[0]
+    return Model(np.frombuffer(fitted["weights"], dtype=np.float32), fitted["intercept"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
