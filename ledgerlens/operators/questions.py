@@ -225,9 +225,12 @@ def apply_corrections(raw: DataFrame, corrections: DataFrame) -> DataFrame:
     """Keep corrected questions only and take over what the correction holds.
 
     corrections(question_id, fields map<string,string>): a field that is there replaces the value
-    even if it is null; a field that is missing leaves the value.
+    even if it is null; a field that is missing leaves the value. Of several corrections of one
+    question the last by ``pos`` counts; without that column, the one whose fields sort last.
     """
-    fixed = raw.join(corrections, "question_id")
+    text = F.to_json("fields", {"ignoreNullFields": "false"})
+    rank = F.struct("pos", text) if "pos" in corrections.columns else text
+    fixed = raw.join(corrections.groupBy("question_id").agg(F.max_by("fields", rank).alias("fields")), "question_id")
 
     def value(name: str, default: Column) -> Column:
         given = F.map_contains_key("fields", F.lit(name))

@@ -20,7 +20,7 @@ from ledgerlens.operators.bipartite import (
 )
 from ledgerlens.operators.exact import ex_match, row_counts
 from ledgerlens.operators.rows import PAIR, SIZES
-from ledgerlens.operators.soft import fbeta, soft_fbeta, soft_row_match
+from ledgerlens.operators.soft import fbeta, soft_fbeta, soft_row_counts, soft_totals
 from ledgerlens.session import stage
 
 # The metrics of a report, the success threshold, the order of difficulty levels.
@@ -63,16 +63,14 @@ def score_results(
             *PAIR,
             F.col("p").eqNullSafe(F.col("g")).alias("same"),
             mismatch().alias("place"),
-            soft_row_match(F.col("p"), F.col("g")).alias("s"),
+            soft_row_counts(F.col("p"), F.col("g")).alias("s"),
         )
         .groupBy(*PAIR)
         .agg(
             F.bool_and("same").cast("double").alias("exo"),
             F.min("place").alias("lo"),
             F.max("place").alias("hi"),
-            F.sum("s.hit").alias("hit"),
-            F.sum("s.p_only").alias("p_only"),
-            F.sum("s.g_only").alias("g_only"),
+            *soft_totals("s")[:3],
         )
     )
     rows = row_counts(sided, _marks(F.col("cells")).alias("k0"), C.encoded_keys(F.col("cells")).alias("k1"))
@@ -136,9 +134,13 @@ def classify_outcome(entries: DataFrame) -> DataFrame:
 
 
 def submission_join(questions: DataFrame, submission: DataFrame) -> DataFrame:
-    """Questions that the submission answers; a null answer is the empty text."""
-    answers = submission.select(F.col("id"), F.coalesce("sql", F.lit("")).alias("pd_sql"))
-    return questions.join(answers, "id")
+    """Questions that the submission answers; a null answer is the empty text.
+
+    Of several answers to one id the last one by ``pos`` counts; without that column, the greatest text.
+    """
+    sql = F.coalesce("sql", F.lit(""))
+    last = F.max_by(sql, F.struct("pos", sql)) if "pos" in submission.columns else F.max(sql)
+    return questions.join(submission.groupBy("id").agg(last.alias("pd_sql")), "id")
 
 
 def report_rollup(outcomes: DataFrame) -> DataFrame:

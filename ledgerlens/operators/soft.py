@@ -9,42 +9,69 @@ from ledgerlens.operators import rows as R
 from ledgerlens.operators.exact import with_defaults
 from ledgerlens.operators.rows import PAIR
 
+COUNTS = ("hit", "p_only", "g_only")
 
-def soft_row_match(p: Column, g: Column) -> Column:
-    """struct<hit, p_only, g_only> as shares of the expected row's width.
+
+def soft_row_counts(p: Column, g: Column) -> Column:
+    """struct<hit, p_only, g_only, surplus, missing, width> of one row pair, in whole cells and rows.
 
     Membership is tested cell by cell, so a value repeated in the prediction counts each time. A
-    missing prediction row is one g_only, a surplus one is one p_only.
+    row without a partner has no cells here; it counts the expected width, which ``soft_totals`` fills in.
     """
-    width = F.size(g).cast("double")
     found = F.size(F.filter(p, lambda x: F.array_contains(g, x)))
-    missing = F.size(F.filter(g, lambda x: ~F.array_contains(p, x)))
+    lost = F.size(F.filter(g, lambda x: ~F.array_contains(p, x)))
 
-    def shares(hit: Column, p_only: Column, g_only: Column) -> Column:
-        return F.struct(hit.alias("hit"), p_only.alias("p_only"), g_only.alias("g_only"))
+    def counts(*values: Column | int) -> Column:
+        names = (*COUNTS, "surplus", "missing", "width")
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("bigint").alias(n) for n, v in zip(names, values)])
 
-    zero, one = F.lit(0.0), F.lit(1.0)
     return (
-        F.when(g.isNull(), shares(zero, one, zero))
-        .when(p.isNull(), shares(zero, zero, one))
-        .when(F.size(g) == 0, F.when(F.size(p) == 0, shares(one, zero, zero)).otherwise(shares(zero, one, zero)))
-        .otherwise(shares(found / width, (F.size(p) - found) / width, missing / width))
+        F.when(g.isNull(), counts(0, 0, 0, 1, 0, 0))
+        .when(p.isNull(), counts(0, 0, 0, 0, 1, F.size(g)))
+        .when(F.size(g) == 0, F.when(F.size(p) == 0, counts(1, 0, 0, 0, 0, 0)).otherwise(counts(0, 1, 0, 0, 0, 0)))
+        .otherwise(counts(found, F.size(p) - found, lost, 0, 0, F.size(g)))
+    )
+
+
+def soft_totals(counts: str) -> list[Column]:
+    """Aggregates hit, p_only, g_only and width over a column of ``soft_row_counts``.
+
+    The sums are whole numbers and do not depend on the order in which partitions meet.
+    """
+    width = F.greatest(F.max(f"{counts}.width"), F.lit(1).cast("bigint"))
+    return [
+        F.sum(f"{counts}.hit").alias("hit"),
+        (F.sum(f"{counts}.p_only") + F.sum(f"{counts}.surplus") * width).alias("p_only"),
+        (F.sum(f"{counts}.g_only") + F.sum(f"{counts}.missing") * width).alias("g_only"),
+        width.alias("width"),
+    ]
+
+
+def soft_row_match(p: Column, g: Column) -> Column:
+    """struct<hit, p_only, g_only> as shares of the expected row's width.
+
+    A missing prediction row is one g_only, a surplus one is one p_only.
+    """
+    counts = soft_row_counts(p, g)
+    width = F.greatest(counts["width"], F.lit(1).cast("bigint")).cast("double")
+    return F.struct(
+        (counts["hit"] / width).alias("hit"),
+        (counts["p_only"] / width + counts["surplus"]).alias("p_only"),
+        (counts["g_only"] / width + counts["missing"]).alias("g_only"),
     )
 
 
 def fbeta(hit: Column, p_only: Column, g_only: Column, beta: float) -> Column:
-    """F-beta of summed hits and misses; 0 where nothing was hit."""
-    precision = F.coalesce(F.try_divide(hit, hit + p_only), F.lit(0.0))
-    recall = F.coalesce(F.try_divide(hit, hit + g_only), F.lit(0.0))
+    """F-beta of summed hits and misses by one division; 0 where nothing was hit."""
     square = float(beta * beta)
-    return F.coalesce(F.try_divide((1.0 + square) * precision * recall, square * precision + recall), F.lit(0.0))
+    whole = square * (hit + g_only) + (hit + p_only)
+    return F.coalesce(F.try_divide((1.0 + square) * hit, whole), F.lit(0.0))
 
 
 def soft_sums(aligned: DataFrame) -> DataFrame:
+    """hit, p_only and g_only of each pair in cells, and the width of its expected rows."""
     return (
-        aligned.select(*PAIR, soft_row_match(F.col("p"), F.col("g")).alias("s"))
-        .groupBy(*PAIR)
-        .agg(F.sum("s.hit").alias("hit"), F.sum("s.p_only").alias("p_only"), F.sum("s.g_only").alias("g_only"))
+        aligned.select(*PAIR, soft_row_counts(F.col("p"), F.col("g")).alias("s")).groupBy(*PAIR).agg(*soft_totals("s"))
     )
 
 

@@ -166,15 +166,28 @@ pr AS (SELECT query_id, coalesce(hit / nullif(hit + po, 0), 0) AS pr, coalesce(h
 def soft_row_match(spark, folder):
     results = X.stored_parts(spark, folder)
     sums = S.soft_sums(R.by_position(R.pair_sides(results, R.pair_list(results))))
-    return sums.select("query_id", *[F.round(c, 6).alias(c) for c in ("hit", "p_only", "g_only")])
+    return sums.select("query_id", *[F.round(F.col(c) / F.col("width"), 6).alias(c) for c in S.COUNTS])
 
 
-def _fbeta_sql(beta: float) -> str:
+# Whole cells (rows are three cells wide) and one division, so that no sum depends on its order.
+_CELLS_CTE = """, aligned AS (
+  SELECT query_id, p.keys AS p, g.keys AS g FROM pred p FULL JOIN gold g USING (query_id, row_idx)),
+cells AS (
+  SELECT query_id,
+         CASE WHEN p IS NULL OR g IS NULL THEN 0 ELSE len(list_filter(p, lambda x: list_contains(g, x))) END AS hit,
+         CASE WHEN g IS NULL THEN 3 WHEN p IS NULL THEN 0 ELSE len(list_filter(p, lambda x: NOT list_contains(g, x))) END AS po,
+         CASE WHEN g IS NULL THEN 0 WHEN p IS NULL THEN 3 ELSE len(list_filter(g, lambda x: NOT list_contains(p, x))) END AS go
+  FROM aligned),
+pr AS (SELECT query_id, SUM(hit) AS hit, SUM(po) AS po, SUM(go) AS go FROM cells GROUP BY query_id)
+"""
+
+
+def _fbeta_sql(beta: int) -> str:
     b = beta * beta
-    return f"round(coalesce((1 + {b}) * pr * re / nullif({b} * pr + re, 0), 0), 6)"
+    return f"round(coalesce(CAST({1 + b} * hit AS DOUBLE) / nullif({b} * (hit + go) + hit + po, 0), 0), 6)"
 
 
-@add("soft_fbeta", X.PARTS_SQL + _SOFT_CTE + f"SELECT query_id, 0 AS variant, {_fbeta_sql(1)} AS score FROM pr")
+@add("soft_fbeta", X.PARTS_SQL + _CELLS_CTE + f"SELECT query_id, 0 AS variant, {_fbeta_sql(1)} AS score FROM pr")
 def soft_fbeta(spark, folder):
     scores = S.soft_fbeta(X.stored_parts(spark, folder), dedup=False)
     return scores.select("query_id", "variant", F.round("score", 6).alias("score"))
@@ -316,7 +329,7 @@ def bf_score(spark, folder):
 
 @add(
     "row_cap_fallback",
-    X.PARTS_SQL + _SOFT_CTE
+    X.PARTS_SQL + _CELLS_CTE
     + f"SELECT query_id, 0 AS variant, {_fbeta_sql(2)} AS score FROM pr JOIN sizes USING (query_id) WHERE n > 25 OR m > 25",
 )
 def row_cap_fallback(spark, folder):

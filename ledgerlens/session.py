@@ -28,15 +28,21 @@ def session(app: str = "ledgerlens", master: str | None = None, **extra: str) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors see.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, a session on one
+    machine takes a temporary folder; any other session is refused, as its executors would not see
+    each other's files. Whoever owns the folder clears it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="ledgerlens-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or machine_folder(spark.conf.get("spark.master", ""))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def machine_folder(master: str) -> str:
+    """A temporary folder for a session whose tasks all run in this process."""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="ledgerlens-")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 

@@ -6,17 +6,36 @@ JSON list (or one object), each in one piece.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRICT = {"mode": "FAILFAST"}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank, numbered 0, 1, 2, … in the order of files and of lines in a file.
+
+    The lines of one file block are read by one task in order, so their ids follow each other; only
+    the sizes of the blocks meet in one place.
+    """
+    block = ["_file", "_block"]
+    kept = spark.read.text(path).where(F.trim("value") != "")
+    lines = kept.select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    sizes = lines.groupBy(*block).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(starts, block).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("pos"), "value")
+
+
 def _objects(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """Rows ``(pos, o map<string,string>)``; nested values arrive as JSON text."""
     if lines:
-        text = spark.read.text(path).where(F.trim("value") != "")
-        return text.select(F.monotonically_increasing_id().alias("pos"), F.from_json("value", "map<string,string>", STRICT).alias("o"))
+        return numbered_lines(spark, path).select("pos", F.from_json("value", "map<string,string>", STRICT).alias("o"))
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<map<string,string>>", STRICT)).alias("pos", "o")).withColumn(
         "pos", F.col("pos").cast("bigint")
