@@ -89,3 +89,23 @@ def test_pair_keeps_equal_column_names_and_row_order(spark):
     )
     row = scores.first()
     assert (row["n"], row["exo"], row["exu"], row["bfo"]) == (500, 1.0, 1.0, 1.0)
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    """Several files, several blocks each, blank lines between: positions are dense and in order."""
+    from ledgerlens.session import machine_folder
+    from ledgerlens.sources.questions import numbered_lines
+
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(2000)]
+    for k in range(4):
+        (tmp_path / f"part-{k}.txt").write_text("\n\n".join(lines[500 * k : 500 * k + 500]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [tuple(r) for r in numbered_lines(spark, str(tmp_path)).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(lines))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(ValueError):
+            machine_folder(master)
