@@ -1,7 +1,7 @@
 """Small array kernels that run inside Arrow tasks.
 
-A task sees a batch of pairs of result tables, each bounded by the row cap, so a matrix has at most
-ROW_CAP x ROW_CAP entries.
+A task sees a batch of pairs of result tables. The matrix of shared cells takes four bytes per entry; what
+is derived from it is worked out a block of rows at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 
 _BLOCK = 4096
 _DIRECT = 1 << 20
+_ENTRIES = 1 << 22  # matrix entries that are worked on at a time
 
 
 def _place(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,24 +48,49 @@ def _overlap(a: np.ndarray, edge_a: np.ndarray, b: np.ndarray, edge_b: np.ndarra
         i, j = np.nonzero(a[:, None] == b[None, :])
         return np.bincount(at_a[i] * m + at_b[j], minlength=n * m).reshape(n, m)
     shared = np.intersect1d(a, b)
-    out = np.zeros((n, m), dtype=np.float32)
+    out = np.zeros((n, m), dtype=np.int32)
+    lines = max(1, min(_BLOCK, _ENTRIES // max(1, min(shared.size, _BLOCK))))
     for start in range(0, shared.size, _BLOCK):
         some = shared[start : start + _BLOCK]
-        left, right = np.zeros((n, some.size), np.float32), np.zeros((m, some.size), np.float32)
-        for matrix, codes, at in ((left, a, at_a), (right, b, at_b)):
-            place = np.minimum(np.searchsorted(some, codes), some.size - 1)
-            here = some[place] == codes
+
+        def marked(codes: np.ndarray, edge: np.ndarray, low: int) -> np.ndarray:
+            high = min(low + lines, len(edge) - 1)
+            part = codes[edge[low] : edge[high]]
+            at = np.repeat(np.arange(high - low), np.diff(edge[low : high + 1]))
+            place = np.minimum(np.searchsorted(some, part), some.size - 1)
+            here = some[place] == part
+            matrix = np.zeros((high - low, some.size), np.float32)
             matrix[at[here], place[here]] = 1.0
-        out += left @ right.T
-    return np.rint(out).astype(np.int64)
+            return matrix
+
+        for low in range(0, m, lines):
+            right = marked(b, edge_b, low)
+            for top in range(0, n, lines):
+                left = marked(a, edge_a, top)
+                out[top : top + lines, low : low + lines] += np.rint(left @ right.T).astype(np.int32)
+    return out
 
 
 def best_in_order(overlap: np.ndarray) -> int:
     """Heaviest matching without crossings."""
-    best = np.zeros(overlap.shape[1] + 1, dtype=np.int64)
-    for row in overlap:
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
-    return int(best[-1])
+    return int(block_in_order(overlap)[0][-1])
+
+
+def block_in_order(overlap: np.ndarray, top: np.ndarray | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence over one block of a matrix: its last line and its last column, corners included.
+
+    ``top`` and ``left`` are the last line of the block above and the last column of the block before; zeros at the rim.
+    """
+    n, m = overlap.shape
+    best = np.zeros(m + 1, dtype=np.int64) if top is None else np.array(top, dtype=np.int64)
+    right = np.empty(n + 1, dtype=np.int64)
+    right[0] = best[-1]
+    for i, row in enumerate(overlap, 1):
+        best[1:] = np.maximum(best[1:], best[:-1] + row)
+        best[0] = 0 if left is None else left[i]
+        best = np.maximum.accumulate(best)
+        right[i] = best[-1]
+    return best, right
 
 
 def best_matching(overlap: np.ndarray) -> np.ndarray:
@@ -91,7 +117,12 @@ def best_matching(overlap: np.ndarray) -> np.ndarray:
         return out
     columns = np.arange(small.shape[1])
     if bidders.size < columns.size:
-        columns = np.unique(np.argpartition(-small, bidders.size - 1, axis=1)[:, : bidders.size])
+        lines = max(1, _ENTRIES // columns.size)
+        parts = (np.argpartition(-small[k : k + lines], bidders.size - 1, axis=1)[:, : bidders.size] for k in range(0, bidders.size, lines))
+        wanted = np.zeros(columns.size, dtype=bool)
+        for part in parts:
+            wanted[part] = True
+        columns = np.flatnonzero(wanted)
     held = _auction(small[:, columns])
     partner = np.where(held < columns.size, columns[np.minimum(held, columns.size - 1)], -1)
     out[bidders] = np.where((partner >= 0) & (small[np.arange(bidders.size), partner] > 0), partner, -1)
@@ -101,20 +132,26 @@ def best_matching(overlap: np.ndarray) -> np.ndarray:
 def _auction(overlap: np.ndarray) -> np.ndarray:
     n, m = overlap.shape
     size = max(n, m)
-    value = np.zeros((size, size), dtype=np.int64)
-    value[:n, :m] = overlap * (size + 1)
-    start = (np.arange(size)[None, :] - np.arange(size)[:, None]) % size
     price = np.zeros(size, dtype=np.int64)
-    step = max(int(value.max()) // 4, 1)
+    step = max(int(overlap.max()) * (size + 1) // 4, 1)
+    lines = max(1, _ENTRIES // size)
+
+    def wishes(bidders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        line = np.arange(bidders.size)
+        profit = np.repeat(-price[None, :], bidders.size, axis=0)
+        real = bidders < n
+        profit[real, :m] += overlap[bidders[real]].astype(np.int64) * (size + 1)
+        start = (np.arange(size)[None, :] - bidders[:, None]) % size
+        choice = (profit * size + start).argmax(axis=1)
+        top = profit[line, choice]
+        profit[line, choice] = np.iinfo(np.int64).min
+        return choice, top, profit.max(axis=1) if size > 1 else top
+
     while True:
         held, owner, free = np.full(size, -1), np.full(size, -1), np.arange(size)
         while free.size:
-            line = np.arange(free.size)
-            profit = value[free] - price
-            choice = (profit * size + start[free]).argmax(axis=1)
-            top = profit[line, choice]
-            profit[line, choice] = np.iinfo(np.int64).min
-            second = profit.max(axis=1) if size > 1 else top
+            parts = [wishes(free[k : k + lines]) for k in range(0, free.size, lines)]
+            choice, top, second = (np.concatenate(x) for x in zip(*parts))
             bid = price[choice] + top - second + step
             rank = np.lexsort((free, -bid, choice))
             winner = rank[np.r_[True, choice[rank][1:] != choice[rank][:-1]]]

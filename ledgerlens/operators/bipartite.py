@@ -5,8 +5,12 @@ All rows of a result table have one width, so the F-beta of a row pair with c sh
 the whole number c and serve every beta.
 
 Spark does the bulk: equal rows are matched by counting (unordered) or cut off at both ends
-(ordered), and only what is left of a pair goes to an Arrow task, many pairs per batch. Pairs with a side above
-ROW_CAP rows take the soft score, as the row cap demands, and never form a group.
+(ordered), and only what is left of a pair goes to Arrow tasks, many small pairs per batch. A long ordered pair is
+cut into blocks that are solved along the anti-diagonals, and a long weight matrix into blocks of prediction rows;
+what is left of an unordered pair is solved in one task, exactly, whatever its size.
+
+``cap`` is an explicit choice: with a number, pairs with a side above it are left out of the alignments and take the
+soft score in ``bf_score``. Without one (None) every pair is aligned.
 """
 
 from __future__ import annotations
@@ -15,28 +19,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import ledgerlens
 from ledgerlens.functions import cells as C
-from ledgerlens.functions.alignment import best_in_order, best_matching, overlaps
+from ledgerlens.functions.alignment import best_matching, block_in_order, overlaps
 from ledgerlens.operators import rows as R
 from ledgerlens.operators.exact import row_counts
 from ledgerlens.operators.rows import PAIR
 from ledgerlens.operators.soft import fbeta, soft_sums
+from ledgerlens.session import stage
 
 ROW_CAP = 1000
+BLOCK = 1024  # rows of a block in the ordered alignment
 _EMIT = 1 << 22  # weights per outgoing batch; incoming batches are bounded in bytes by Spark
 
 # The kernels travel inside the task: workers need numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(ledgerlens)
 
 
-def within_cap(n: Column, m: Column, cap: int = ROW_CAP) -> Column:
-    return (n <= cap) & (m <= cap)
+def within_cap(n: Column, m: Column, cap: int | None = ROW_CAP) -> Column:
+    return F.lit(True) if cap is None else (n <= cap) & (m <= cap)
 
 
 def row_fbeta(p: Column, g: Column, beta: float = 2.0) -> Column:
@@ -60,11 +65,8 @@ def _marks(cells: Column) -> Column:
     return F.transform(counted, lambda c: F.concat(c["key"], F.lit("\u0001"), c["ord"].cast("string")))
 
 
-def _tables(rows: DataFrame, *extra: Column, place: bool = False) -> DataFrame:
-    """One line per pair: the marks of its rows on both sides, in row order.
-
-    Only pairs within the row cap come here, so a line is bounded. ``place`` adds the row numbers.
-    """
+def _tables(rows: DataFrame, *extra: Column, place: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One line per pair (and ``keys``): the marks of its rows on both sides, in row order. ``place`` adds the row numbers."""
 
     def gather(side: str) -> list[Column]:
         one = F.when(F.col("side") == side, F.struct("row_idx", "marks"))
@@ -72,7 +74,7 @@ def _tables(rows: DataFrame, *extra: Column, place: bool = False) -> DataFrame:
         return [F.transform(ordered, lambda r: r["marks"]).alias(side), F.transform(ordered, lambda r: r["row_idx"]).alias(f"{side}_at")]
 
     columns = [c for side in ("p", "g") for c in gather(side)]
-    return rows.groupBy(*PAIR).agg(*(columns if place else columns[::2]), *extra)
+    return rows.groupBy(*PAIR, *keys).agg(*(columns if place else columns[::2]), *extra)
 
 
 def _lists(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.ListArray]:
@@ -83,21 +85,25 @@ def _answer(batch: pa.RecordBatch, shared: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAIR), shared], names=[*PAIR, "shared"])
 
 
-def _small(sided: DataFrame, cap: int) -> DataFrame:
+def _small(sided: DataFrame, cap: int | None) -> DataFrame:
     return sided.where(within_cap(F.col("n"), F.col("m"), cap))
 
 
 # -- weights ---------------------------------------------------------------------------------
 
 
-def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float = 2.0, cap: int = ROW_CAP) -> DataFrame:
+def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float = 2.0, cap: int | None = None) -> DataFrame:
     """The weight matrix, one line per prediction row: ``weights[j]`` for expected row j.
 
-    Defined for pairs within the row cap.
+    Prediction rows go in blocks of at most _EMIT weights, each with all expected rows: what a line of the result holds.
     """
     pairs = R.pair_list(results) if pairs is None else pairs
     sided = _small(R.pair_sides(results, pairs), cap)
-    rows = sided.select(*PAIR, "side", "row_idx", "p_width", "g_width", _marks(F.col("cells")).alias("marks"))
+    lines = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(_EMIT) / F.greatest(F.col("m"), F.lit(1))))).cast("bigint")
+    mine = F.floor(F.col("row_idx") / lines).cast("bigint")
+    every = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / lines).cast("bigint"))
+    block = F.explode(F.when(F.col("side") == "p", F.array(mine)).otherwise(every)).alias("block")
+    rows = sided.select(*PAIR, "side", "row_idx", "p_width", "g_width", _marks(F.col("cells")).alias("marks"), block)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +118,7 @@ def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float
                     first, size, lines = k, 0, []
 
     schema = "query_id string, variant int, p_at array<bigint>, p_width int, g_width int, shared array<array<int>>"
-    tables = _tables(rows, F.max("p_width").alias("p_width"), F.max("g_width").alias("g_width"), place=True)
+    tables = _tables(rows, F.max("p_width").alias("p_width"), F.max("g_width").alias("g_width"), place=True, keys=("block",))
     lines = tables.mapInArrow(matrices, schema).select(
         *PAIR, "p_width", "g_width", F.explode(F.arrays_zip("p_at", "shared")).alias("line")
     )
@@ -137,12 +143,13 @@ def mismatch_span(aligned: DataFrame) -> DataFrame:
     return spans.groupBy(*PAIR).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
 
 
-def align_ordered(sided: DataFrame, cap: int = ROW_CAP, spans: DataFrame | None = None) -> DataFrame:
+def align_ordered(sided: DataFrame, cap: int | None = None, spans: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Most shared cells over all matchings without crossings: (query_id, variant, shared).
 
     Leading equal rows belong to a best matching, and so do trailing ones if both tables are
-    equally long. Spark counts those; the span between goes through the recurrence. Pairs that are
-    equal all along, or have no row, are not listed: see ``equal_shared``.
+    equally long. Spark counts those; the span between goes through the recurrence in blocks of
+    ``block`` x ``block`` rows. The blocks of an anti-diagonal depend only on the two before it, so each
+    anti-diagonal is one job over all pairs. Pairs that are equal all along, or have no row, are not listed: see ``equal_shared``.
     """
     small = _small(sided, cap)
     spans = mismatch_span(R.by_position(small)) if spans is None else spans
@@ -154,16 +161,54 @@ def align_ordered(sided: DataFrame, cap: int = ROW_CAP, spans: DataFrame | None
             F.when(F.col("n") == F.col("m"), F.col("lo") + F.col("n") - 1 - F.col("hi")).otherwise(F.col("lo")) * F.col("p_width"),
         )
         .where(F.col("row_idx").between(F.col("lo"), F.col("hi")))
-        .select(*PAIR, "side", "row_idx", "cut", _marks(F.col("cells")).alias("marks"))
+        .select(*PAIR, "side", "row_idx", "lo", "cut", _marks(F.col("cells")).alias("marks"))
+    )
+    place = F.floor((F.col("row_idx") - F.col("lo")) / block).cast("int").alias("at")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "marks"))), lambda r: r["marks"])
+    blocks = stage(
+        open_rows.groupBy(*PAIR, "side", place).agg(line.alias("rows"), F.max("cut").cast("bigint").alias("cut")), "blocks"
     )
+    p = blocks.where("side = 'p'").select(*PAIR, F.col("at").alias("i"), F.col("rows").alias("p"))
+    g = blocks.where("side = 'g'").select(*PAIR, F.col("at").alias("j"), F.col("rows").alias("g"))
+    is_pred = F.col("side") == "p"
+    last = blocks.groupBy(*PAIR).agg(
+        F.max(F.when(is_pred, F.col("at"))).alias("last_i"), F.max(F.when(~is_pred, F.col("at"))).alias("last_j"), F.max("cut").alias("cut")
+    )
+    waves = last.agg(F.max(F.coalesce("last_i", F.lit(0)) + F.coalesce("last_j", F.lit(0)))).first()[0]
+    # a side without rows in the span leaves the cut alone
+    ends = [last.where("last_i IS NULL OR last_j IS NULL").select(*PAIR, F.col("cut").alias("shared"))]
+    rims = None
 
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, g = _lists(batch)
-            yield _answer(batch, pc.add(batch.column("cut"), pa.array([best_in_order(c) for c in overlaps(p, g)], pa.int64())))
-
-    tables = _tables(open_rows, F.max("cut").cast("bigint").alias("cut"))
-    return tables.mapInArrow(recur, "query_id string, variant int, shared bigint")
+            bottoms, rights = [], []
+            for shared, top, left in zip(overlaps(*_lists(batch)), batch.column("top"), batch.column("left")):
+                lines = (np.array(x.as_py()) if x.is_valid else None for x in (top, left))
+                bottom, right = block_in_order(shared, *lines)
+                bottoms.append(bottom)
+                rights.append(right)
+            kept = [batch.column(c) for c in (*PAIR, "i", "j")]
+            solved = [pa.array(x, pa.list_(pa.int64())) for x in (bottoms, rights)]
+            yield pa.RecordBatch.from_arrays([*kept, *solved], names=[*PAIR, "i", "j", "bottom", "right"])
+
+    for wave in range(0 if waves is None else waves + 1):
+        here = p.withColumn("j", F.lit(wave) - F.col("i")).join(g, [*PAIR, "j"])
+        if rims is None:
+            none = F.lit(None).cast("array<bigint>")
+            here = here.select(*PAIR, "i", "j", "p", "g", none.alias("top"), none.alias("left"))
+        else:
+            here = here.join(rims, [*PAIR, "i", "j"], "left").select(*PAIR, "i", "j", "p", "g", "top", "left")
+        solved = stage(here.mapInArrow(recur, "query_id string, variant int, i int, j int, bottom array<bigint>, right array<bigint>"), "wave")
+        end = (F.col("i") == F.col("last_i")) & (F.col("j") == F.col("last_j"))
+        ends.append(solved.join(last, PAIR).where(end).select(*PAIR, (F.col("cut") + F.element_at("bottom", -1)).alias("shared")))
+        none = F.lit(None).cast("array<bigint>")
+        below = solved.select(*PAIR, (F.col("i") + 1).alias("i"), "j", F.col("bottom").alias("top"), none.alias("left"))
+        beside = solved.select(*PAIR, "i", (F.col("j") + 1).alias("j"), none.alias("top"), F.col("right").alias("left"))
+        rims = below.unionByName(beside).groupBy(*PAIR, "i", "j").agg(F.max("top").alias("top"), F.max("left").alias("left"))
+    whole = ends[0]
+    for part in ends[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def equal_shared() -> Column:
@@ -174,7 +219,7 @@ def equal_shared() -> Column:
 # -- unordered -------------------------------------------------------------------------------
 
 
-def align_unordered(sided: DataFrame, cap: int = ROW_CAP, counts: DataFrame | None = None) -> DataFrame:
+def align_unordered(sided: DataFrame, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Most shared cells over all matchings: (query_id, variant, shared).
 
     Equal rows are matched with each other by counting copies, which is exact for tables of one
@@ -211,7 +256,7 @@ def align_unordered(sided: DataFrame, cap: int = ROW_CAP, counts: DataFrame | No
     )
 
 
-def match_assignment(sided: DataFrame, cap: int = ROW_CAP) -> DataFrame:
+def match_assignment(sided: DataFrame, cap: int | None = None) -> DataFrame:
     """For each prediction row the expected row it is matched with, -1 where there is none."""
     rows = _small(sided, cap).select(*PAIR, "side", "row_idx", _marks(F.col("cells")).alias("marks"))
     copies = Window.partitionBy(*PAIR, "marks", "side").orderBy("row_idx")
@@ -262,10 +307,10 @@ def bf_score(
     beta: float = 2.0,
     ordered: bool = False,
     dedup: bool = True,
-    cap: int = ROW_CAP,
+    cap: int | None = None,
     legacy_empty: bool = False,
 ) -> DataFrame:
-    """Bipartite F-beta per (query, variant). Above the row cap it is the soft score at this beta.
+    """Bipartite F-beta per (query, variant). With a ``cap``, pairs above it take the soft score at this beta.
 
     ``legacy_empty`` gives an empty prediction 1/m in the ordered form instead of 0.
     """
@@ -284,6 +329,8 @@ def bf_score(
     best = align_ordered(near, cap) if ordered else align_unordered(near, cap)
     shared = F.coalesce(F.col("shared"), equal_shared()) if ordered else F.coalesce("shared", F.lit(0))
     scored = R.merge_pairs(small, best).select(*PAIR, overlap_score(shared, beta, ordered, legacy_empty).alias("score"))
+    if cap is None:
+        return scored
     sums = soft_sums(R.by_position(far))
     soft = sums.select(*PAIR, fbeta(F.col("hit"), F.col("p_only"), F.col("g_only"), beta).alias("score"))
     return scored.unionByName(soft)

@@ -35,7 +35,7 @@ def score_results(
     bf_beta: float = 2.0,
     sf_beta: float = 1.0,
     dedup: bool = False,
-    cap: int = ROW_CAP,
+    cap: int | None = ROW_CAP,
     legacy_empty: bool = False,
     staged: bool = True,
 ) -> DataFrame:

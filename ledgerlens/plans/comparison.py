@@ -353,7 +353,7 @@ def large_result_flags(spark, folder):
 def _outcomes(spark, folder):
     """Best variant per query with its difficulty; the last year stands for failed predictions."""
     base = stage(X.months_base(spark, folder), "months")
-    scores = P.best_variant(P.score_results(stage(X.months(base), "results")))
+    scores = P.best_variant(P.score_results(stage(X.months(base), "results"), cap=None))
     failed = F.col("year") == "2001"
     return (
         scores.join(X.months_meta(base), "query_id")
@@ -402,7 +402,7 @@ def _rounded(names):
 )
 def best_variant(spark, folder):
     results = X.stored_months(spark, folder)
-    return P.best_variant(P.score_results(results)).select("query_id", "variant", *_rounded(P.METRICS))
+    return P.best_variant(P.score_results(results, cap=None)).select("query_id", "variant", *_rounded(P.METRICS))
 
 
 def _report_sql() -> str:

@@ -99,6 +99,7 @@ def evaluate_submission(
     unordered: bool = False,
     best: str = "exo",
     parallel: int = 8,
+    cap: int | None = None,
 ) -> DataFrame:
     """Outcome per question: success, ordered, the five metrics, pred_error and gt_error.
 
@@ -114,7 +115,7 @@ def evaluate_submission(
     results, runs = run_statements(spark, _statements(answered), ndigits, parallel)
     results = stage(results, "rows")
     scores = P.score_results(
-        results, R.pair_list(results, runs.where("error IS NULL")), bf_beta=bf_beta, sf_beta=sf_beta, dedup=dedup
+        results, R.pair_list(results, runs.where("error IS NULL")), bf_beta=bf_beta, sf_beta=sf_beta, dedup=dedup, cap=cap
     )
     picked = P.best_variant(scores, best)
     errors = runs.groupBy("query_id").agg(
@@ -154,4 +155,4 @@ def run_sql_pair(spark: SparkSession, gold_sql: str, pred_sql: str, **options) -
     keys = ["query_id", "side", "variant"]
     results = stage(R.dense_index(stage(both, "pair"), keys, F.col("row_idx")).select(*keys, "row_idx", "cells"), "rows")
     runs = spark.createDataFrame([("pair", "g", 0), ("pair", "p", 0)], "query_id string, side string, variant int")
-    return gold, pred, P.score_results(results, R.pair_list(results, runs), **options)
+    return gold, pred, P.score_results(results, R.pair_list(results, runs), **{"cap": None} | options)

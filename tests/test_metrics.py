@@ -8,7 +8,7 @@ from ledgerlens.operators import exact as E
 from ledgerlens.operators import report as P
 from ledgerlens.operators import rows as R
 from ledgerlens.operators import soft as S
-from tests.helpers import expected, overlap, results, soft
+from tests.helpers import best_ordered, expected, overlap, results, soft
 
 
 def random_cases(rng, count, most=5):
@@ -158,3 +158,33 @@ def test_one_hot_query_is_spread(spark):
     kept = R.dedup_rows(rows.where("query_id = 'hot' AND side = 'p'")).orderBy("row_idx").collect()
     assert [r["row_idx"] for r in kept] == list(range(1000))
     assert kept[17]["cells"][0]["key"] == "n17"
+
+
+def test_long_pairs_are_aligned_exactly(spark):
+    """1,001 rows and more: nothing is dropped, and no other metric is taken."""
+    g = [(i, i % 7) for i in range(1001)]
+    p = g[1:] + [(-1, -1)]
+    rows, pairs = results(spark, {"big": (p, [g]), "short": (p[:3], [g[:3]])}, ["int", "int"])
+    sided = R.pair_sides(rows, pairs)
+    shared = {f.__name__: {r["query_id"]: r["shared"] for r in f(sided).collect()} for f in (B.align_ordered, B.align_unordered)}
+    assert shared == {"align_ordered": {"big": 2000, "short": 4}, "align_unordered": {"big": 2000, "short": 4}}
+    for ordered in (True, False):
+        scores = {r["query_id"]: r["score"] for r in B.bf_score(rows, pairs, ordered=ordered, dedup=False).collect()}
+        assert scores == {"big": pytest.approx(1000 / 1001), "short": pytest.approx(2 / 3)}
+    full = {r["query_id"]: r for r in P.score_results(rows, pairs, cap=None).collect()}["big"]
+    assert full["bfo"] == full["bfu"] == pytest.approx(1000 / 1001)
+    weights = {r["row_idx"]: r["weights"] for r in B.pair_weights(rows, pairs).where("query_id = 'big'").collect()}
+    assert len(weights) == 1001 and weights[17][18] == 1.0 and all(len(w) == 1001 for w in weights.values())
+    partner = {r["row_idx"]: r["partner"] for r in B.match_assignment(sided).where("query_id = 'big'").collect()}
+    assert [partner[i] for i in range(1001)] == [*range(1, 1001), -1]
+
+
+def test_ordered_blocks_against_the_plain_recurrence(spark):
+    rng = random.Random(5)
+    cases = random_cases(rng, 30, most=11)
+    rows, pairs = results(spark, cases, ["int", "int"])
+    got = {r["query_id"]: r["shared"] for r in B.align_ordered(R.pair_sides(rows, pairs), block=2).collect()}
+    assert len(got) > 20
+    for query, shared in got.items():
+        p, (g,) = cases[query]
+        assert shared == best_ordered(p, g), (query, p, g)
