@@ -1,29 +1,31 @@
 """Quality rules on whole texts: counts with fixed limits, and the divergence from the language.
 
-Two histograms of a document are held against references of its language, which come from all documents
-of the table: the shares of character classes, and the shares of the language's most common words (all
+Two histograms of a document are held against the references of its own language, which come from all documents
+of that language in the table: the shares of character classes, and the shares of the language's most common words (all
 other words are one more share). The distance is the Jensen-Shannon distance (root of the divergence in
 bits, 0 to 1). A document fails when a distance is above its limit; each histogram counts only for
-documents long enough to fill it (minimum-length guards).
+documents long enough to fill it (minimum-length guards). A document whose language is unknown, or has too few words
+for a reference, has nothing to diverge from: its distances are null and the base rule alone decides.
 
 References are grouped sums: every task adds up words and characters per language before anything is
-shuffled, and only the common words of large languages leave the cluster (a bounded list). Documents are
-then judged where they lie.
+shuffled. They form a table of one row per language, which grows with the languages and is joined to the
+documents; while it is small Spark broadcasts it, and documents are judged where they lie.
 
 Cases: a null text counts as no words; empty texts and texts of white space fail the base rule; a null or rare language
-is held against the pooled reference of all documents; equal rows get equal results and all count in the references; an empty table gives an empty
+has no distances; equal rows get equal results and all count in the references; an empty table gives an empty
 result; further columns are not read. Word and character tables of very long texts are as large as the text.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.frames import column_or, has_column, keep_rows, map_rows, text_rows
@@ -31,10 +33,10 @@ from ledgerlens.session import stage
 
 #: Common words of a language.
 COMMON_WORDS = 64
-#: Languages with a reference of their own (the largest ones); the others share the pooled one.
-LANGUAGES = 256
-#: Words that a language needs for a reference of its own.
+#: Words that a language needs for a reference.
 LEAST_WORDS = 2_000
+#: Parsed references that a task keeps at a time.
+PARSED = 64
 #: Entries of a task's table of words before it is handed on.
 TABLE_ENTRIES = 200_000
 #: Base limits of the contract.
@@ -177,42 +179,51 @@ def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def references(docs: DataFrame) -> dict[str | None, Reference]:
-    """By language, and under None the pooled one. Bounded by LANGUAGES and COMMON_WORDS."""
-    texts = docs.select(column_or(docs, "lang", F.lit(None).cast("string")).cast("string").alias("lang"), F.col("text"))
+def languages(docs: DataFrame) -> Column:
+    return column_or(docs, "lang", F.lit(None).cast("string")).cast("string")
+
+
+def reference_table(docs: DataFrame) -> DataFrame:
+    """(_of_lang, _reference): one row per language of at least LEAST_WORDS words; the reference as JSON."""
+    texts = docs.select(languages(docs).alias("lang"), F.col("text")).where("lang IS NOT NULL")
     sums = stage(texts.mapInArrow(_sums, _SUMS).groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "words")
     is_class = F.col("class") >= 0
-    sizes = sums.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n"))
-    large = sizes.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_WORDS)).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    totals = {r["lang"]: r["n"] for r in large.collect()}
-    whole = sums.groupBy("class", "word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "class", "word", "n")
-    own = sums.where(F.col("lang").isin(list(totals))) if totals else sums.limit(0)
-
-    def common(frame: DataFrame, *keys: str) -> DataFrame:
-        # one language may hold most words: the best of each task are chosen before they meet
-        order = [F.desc("n"), F.asc("word")]
-        words = frame.where(~is_class)
-        if not keys:
-            return words.orderBy(*order).limit(COMMON_WORDS)
-        return words.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= COMMON_WORDS).drop("r")
-
-    rows = own.where(is_class).unionByName(common(own, "lang")).collect()
-    rows += whole.where(is_class).unionByName(common(whole)).collect()
-    totals[None] = sizes.agg(F.sum("n")).first()[0] or 0
-    out: dict[str | None, Reference] = {}
-    for lang, total in totals.items():
-        chars = np.zeros(len(CLASSES))
-        found = []
-        for r in rows:
-            if r["lang"] == lang:
-                if r["class"] >= 0:
-                    chars[r["class"]] = r["n"]
-                else:
-                    found.append((-r["n"], bytes(r["word"])))
-        found.sort()
-        counts = np.array([-n for n, _ in found] + [total + sum(n for n, _ in found)], dtype=float)
-        out[lang] = Reference(chars / max(1, chars.sum()), [w for _, w in found], counts / max(1, total))
-    return out
+    sizes = sums.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_WORDS)
+    # one language may hold most words: the best of each task are chosen before they meet
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("word"))
+    common = sums.where(~is_class).withColumn("r", F.row_number().over(best)).where(F.col("r") <= COMMON_WORDS).drop("r")
+    # words are cut at ASCII white space only, so their bytes are text
+    entry = F.struct(F.col("class"), F.col("word").cast("string").alias("word"), "n")
+    rows = sums.where(is_class).unionByName(common).groupBy("lang").agg(F.collect_list(entry).alias("entries"))
+    joined = rows.join(sizes, "lang").select(F.col("lang").alias("_of_lang"), F.to_json(F.struct("total", "entries")).alias("_reference"))
+    return stage(joined, "references")
+
+
+def parsed(reference: str) -> Reference:
+    """A reference from its JSON: words by falling count, then by bytes."""
+    held = json.loads(reference)
+    chars = np.zeros(len(CLASSES))
+    found = []
+    for r in held["entries"]:
+        if r["class"] >= 0:
+            chars[r["class"]] = r["n"]
+        else:
+            found.append((-r["n"], r["word"].encode("utf-8")))
+    found.sort()
+    total = held["total"]
+    counts = np.array([-n for n, _ in found] + [total + sum(n for n, _ in found)], dtype=float)
+    return Reference(chars / max(1, chars.sum()), [w for _, w in found], counts / max(1, total))
+
+
+def references(docs: DataFrame) -> dict[str | None, Reference]:
+    """The table of references on the driver, by language: for looking at a few languages."""
+    return {r["_of_lang"]: parsed(r["_reference"]) for r in reference_table(docs).collect()}
+
+
+def with_reference(docs: DataFrame) -> DataFrame:
+    """The documents with the reference of their language in a last column, null where there is none."""
+    known = reference_table(docs)
+    return docs.join(known, languages(docs) == known["_of_lang"], "left").drop("_of_lang")
 
 
 # -- distances ----------------------------------------------------------------------------------
@@ -254,20 +265,34 @@ def judged(text: str | None, lang: str | None, known: dict[str | None, Reference
     """Base counts, verdict and both distances of one text."""
     data = (text or "").encode("utf-8")
     counts = base_counts(data)
-    by_chars, by_words = distances(data, known.get(lang) or known[None], limits)
+    reference = known.get(lang)
+    by_chars, by_words = (None, None) if reference is None else distances(data, reference, limits)
     far = (by_chars or 0) > limits.chars or (by_words or 0) > limits.words
     return *counts, not counts[-1] and not far, by_chars, by_words
 
 
+def _judge_of(limits: Limits) -> Callable[[str | None, str | None], tuple]:
+    """``judged`` by text and reference; a task parses the reference of a language once."""
+    known: dict[str | None, Reference] = {}
+
+    def run(text: str | None, reference: str | None) -> tuple:
+        if reference is not None and reference not in known:
+            if len(known) >= PARSED:
+                known.clear()
+            known[reference] = parsed(reference)
+        return judged(text, reference, known, limits)
+
+    return run
+
+
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document with the base counts, both distances and the verdict."""
-    known = references(docs)
-    shaped = docs.select("doc_id", "text", column_or(docs, "lang", F.lit(None).cast("string")).cast("string").alias("lang"))
-    return map_rows(shaped, ["doc_id", "text", "lang"], OUTPUT, lambda r: (r[0], *judged(r[1], r[2], known, limits)))
+    shaped = with_reference(docs.select("doc_id", "text", languages(docs).alias("lang")))
+    verdict = _judge_of(limits)
+    return map_rows(shaped, ["doc_id", "text", "_reference"], OUTPUT, lambda r: (r[0], *verdict(r[1], r[2])))
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
-    known = references(docs)
-    columns = ["text", "lang"] if has_column(docs, "lang") else ["text"]
-    return keep_rows(docs, columns, lambda r: judged(r[0], str(r[1]) if r[1:] and r[1] is not None else None, known, limits)[-3])
+    verdict = _judge_of(limits)
+    return keep_rows(with_reference(docs), ["text", "_reference"], lambda r: verdict(*r)[-3]).drop("_reference")

@@ -66,3 +66,26 @@ def test_cases(spark):
     assert Q.judge(docs.limit(0)).count() == 0
     assert Q.passing(docs).columns == docs.columns
     assert Q.passing(docs.drop("lang")).columns == ["doc_id", "text", "kept"]
+
+
+def test_only_the_own_language_counts(spark):
+    """Without a reference of its own language a clean document is kept; more than 256 languages have theirs."""
+    draw = random.Random(9)
+
+    def prose(words, n):
+        return " ".join(draw.choice(words) for _ in range(n))
+
+    german = [f"wort{i}" for i in range(80)]
+    greek = ["".join(draw.choice("αβγδεζηθικλμ") for _ in range(6)) for _ in range(80)]
+    rows = [(i, prose(german, 300), "de") for i in range(20)]
+    rows += [(100, prose(greek, 300), "el"), (101, prose(greek, 300), None), (102, prose(german, 300), None), (103, prose(greek, 300), "de")]
+    for k in range(300):  # small languages of equal size, each with a reference
+        own = [f"{chr(97 + k % 26)}{k}x{i}" for i in range(60)]
+        rows += [(1000 + 10 * k + i, prose(own, 1100), f"l{k:03}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in Q.judge(docs).collect()}
+    assert len(got) == len(rows)
+    assert {d for d, r in got.items() if not r["kept"]} == {103}
+    assert all(got[d]["char_distance"] is None and got[d]["word_distance"] is None for d in (100, 101, 102))
+    assert all(r["word_distance"] < 0.4 for d, r in got.items() if d >= 1000 or d < 20)
+    assert {r["doc_id"] for r in Q.passing(docs).collect()} == set(got) - {103}
