@@ -232,3 +232,20 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     known = words.join(decoded, "word").select(F.col("block").alias("of_block"), "number", "ids", "decoded")
     texts = parts.where("word IS NULL").select("block", "doc_id", "places")
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(_assemble, _RESULT)
+
+
+def _count(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    length = words.sort_values("number")["n"].to_numpy(dtype=np.int64)
+    counts = [int(length[np.frombuffer(zlib.decompress(p), dtype=np.uint32).astype(np.int64)].sum()) for p in docs["places"]]
+    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n": pd.array(counts, dtype="int64")})
+
+
+def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n): the number of tokens of each document; distinct words are encoded once, their lengths joined back."""
+    path, pattern = _vocabulary_path(path)
+    parts = stage(cut_blocks(docs, pattern), "blocks")
+    words = parts.where("word IS NOT NULL").select("block", "number", "word")
+    encoded = encode_words(words.select("word").distinct(), path).select("word", F.size("ids").alias("n"))
+    known = words.join(encoded, "word").select(F.col("block").alias("of_block"), "number", "n")
+    texts = parts.where("word IS NULL").select("block", "doc_id", "places")
+    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(_count, "doc_id bigint, n bigint")

@@ -1,5 +1,8 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
+Lengths are tokens of operator 8's byte-level encoding (``pack_tokens``), in which the permitted lengths are meant; pieces
+are cut at token positions. ``pack`` counts white-space words instead, for whoever asks for words.
+
 Documents longer than the greatest length are cut into pieces of that length and a rest. Pieces are packed
 best-fit in order of falling length: a piece goes into the open bin with the least room that holds it. If none does, a
 bin is opened in the size that costs least for pieces of this length (``cost`` of the bin, shared among as
@@ -13,7 +16,7 @@ stays small. The plan says, for each length, which ranks of pieces go to which b
 given in small buckets of each length, so that a length shared by a third of all documents is many tasks, and
 pieces find their bins in a join with the plan.
 
-Cases: a null or empty text, or one without words, has length 0 and a row without a bin (null). Rows with equal ids are
+Cases: a null or empty text (counting words, also one of white space) has length 0 and a row without a bin (null). Rows with equal ids are
 packed separately; null ids are packed as well. An empty table gives an empty result. Further columns are not read.
 """
 
@@ -26,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.bpe import token_counts
 from ledgerlens.session import stage
 
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -111,19 +115,31 @@ def pieces(docs: DataFrame, longest: int) -> DataFrame:
     """(doc_id, piece, start, length): words of each document in pieces of at most ``longest``; one empty piece for no words."""
     # words are counted as ends of runs of anything but white space; nothing is split
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    counted = docs.select("doc_id", words.alias("n"))
+    return cut_pieces(docs.select("doc_id", words.alias("n")), longest)
+
+
+def cut_pieces(counted: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, n) to (doc_id, piece, start, length)."""
     cut = F.sequence(F.lit(0).cast("bigint"), F.greatest((F.col("n") - 1).cast("bigint"), F.lit(0).cast("bigint")), F.lit(longest).cast("bigint"))
     return counted.select("doc_id", "n", F.posexplode(cut).alias("piece", "start")).select(
         "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(longest).cast("bigint")).cast("int").alias("length")
     )
 
 
+def pack_tokens(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bucket: int = BUCKET, path: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length (in tokens), bin, capacity, bin_offset."""
+    return _packed(cut_pieces(token_counts(docs, path), max(capacities)), capacities, bucket)
+
+
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, bucket: int = BUCKET) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length (in words), bin, capacity, bin_offset."""
-    spark = docs.sparkSession
-    longest = max(capacities)
-    cut = stage(pieces(docs, longest), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `longest`
+    """The same with lengths in white-space words."""
+    return _packed(pieces(docs, max(capacities)), capacities, bucket)
+
+
+def _packed(cut: DataFrame, capacities: tuple[int, ...], bucket: int) -> DataFrame:
+    spark = cut.sparkSession
+    cut = stage(cut, "pieces")
+    counts = {r["length"]: r["n"] for r in cut.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most the greatest
     plan = spark.createDataFrame(plan_bins(counts, capacities), PLAN)
     shares = spark.createDataFrame([(length, -(-n // bucket)) for length, n in counts.items()], "length int, buckets bigint")
     # buckets of a length by hash; ranks inside a bucket, moved up by the sizes of the buckets before it

@@ -92,3 +92,40 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 2), (1, 0), (2, 0), (3, 4), (3, 4), (3, 16), (3, 16)]
     assert all((r["bin"] is None) == (r["length"] == 0) for r in rows)
     assert P.pack(docs.where("false")).count() == 0
+
+
+def test_lengths_are_tokens(spark):
+    """Texts without blanks are cut, and no bin holds more tokens than its capacity."""
+    import public_tokenizers
+    from ledgerlens.llm import bpe
+
+    table = bpe.ranks(public_tokenizers.path(bpe.VOCABULARY))
+    find = bpe.splitter(public_tokenizers.PATTERN).findall
+    rnd = random.Random(2)
+    base64 = "".join(rnd.choice("abcdefghijABCDEFGHIJ0123456789+/") for _ in range(4000))
+    texts = {1: base64, 2: "漢字仮名交じり文" * 40, 3: "plain words, and marks.", 4: "", 5: None, 6: '{"a":1,"b":[2,3]}' * 50, 7: " \n "}
+    rows = [*texts.items(), (3, texts[3]), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens = [(d, sum(len(bpe.encode_word(w.encode(), table)) for w in find(t or ""))) for d, t in rows]
+    assert sorted(map(repr, ((r["doc_id"], r["n"]) for r in bpe.token_counts(docs).collect()))) == sorted(map(repr, tokens))
+    got = P.pack_tokens(docs, (64, 128)).collect()
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+        assert r["start"] == 128 * r["piece"] and r["length"] <= 128 and (r["bin"] is None) == (r["length"] == 0)
+        assert r["bin"] is None or r["bin_offset"] + r["length"] <= r["capacity"]
+    want = Counter()
+    for d, n in tokens:
+        want[d] += n
+    assert total == want and want[1] > 1000
+    assert Counter(r["doc_id"] for r in got)[1] == -(-want[1] // 128)
+    assert P.pack_tokens(docs.where("false")).count() == 0
+
+
+def test_registered_query_counts_tokens(spark):
+    from ledgerlens.llm import bpe, queries
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    packed = queries.registry.queries["op10_best_fit_packing"](spark, f"{DATA}/sf0.001")
+    got = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert got == {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(docs).collect()}
