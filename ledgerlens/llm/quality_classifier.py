@@ -1,7 +1,7 @@
 """Document quality by hierarchical empirical Bayes: what the text says, and what its host and path say.
 
 1. Evidence: a logistic regression on hashed byte trigrams and a few shares of the text, fitted on a bounded
-   sample of labelled rows (``SAMPLE`` of each class, the smallest hashes, weighted back), scores every whole text where it lies.
+   sample of labelled rows (``SAMPLE`` ids of each class, those with the smallest hashes, weighted back; ids are chosen first, so no text is shuffled), scores every whole text where it lies.
 2. Posteriors: the documents' chances (labels where known and not held out) are summed by (host, path), by host and overall. A host is shrunk
    towards the overall mean, a path towards its host; how strongly follows from the spread between the groups
    (moments of the beta distribution), so sparse sites stay near their prior. A document never counts for itself: its own share is taken out first.
@@ -18,10 +18,11 @@ share of good rows. Equal rows get equal scores. An empty table gives an empty r
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.frames import column_or, map_rows
+from ledgerlens.llm.training_sample import held_out, labelled_ids, one_row_per_id, rows_of, smallest_hashes
 from ledgerlens.session import stage
 
 BITS = 14
@@ -59,11 +60,6 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def held_out(doc_id: Column) -> Column:
-    """The fold that is never learned from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def known_labels(labels: DataFrame) -> DataFrame:
     rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") != 0).cast("int")).alias("good"))
     return rows.where(~held_out(F.col("doc_id")))
@@ -71,22 +67,20 @@ def known_labels(labels: DataFrame) -> DataFrame:
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and intercept."""
-    training = docs.select("doc_id", "text").join(known_labels(labels), "doc_id")
-    sizes = {r["good"]: r["n"] for r in training.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    present, sizes = labelled_ids(docs, known_labels(labels).withColumnRenamed("good", "kind"))
     if len(sizes) < 2:
         share = {frozenset(): 0.5, frozenset({1}): 1 - 1e-3, frozenset({0}): 1e-3}[frozenset(sizes)]
         return np.zeros(WIDTH + SHARES), float(np.log(share / (1 - share)))
 
     def sparse(row: tuple) -> tuple:
-        x = features(row[0])
+        x = features(row[1])
         at = np.flatnonzero(x)
-        return at.astype(np.int32).tobytes(), x[at].astype(np.float32).tobytes(), row[1]
+        return row[0], at.astype(np.int32).tobytes(), x[at].astype(np.float32).tobytes(), row[2]
 
-    parts = []
-    for kind in (0, 1):
-        chosen = training.where(F.col("good") == kind).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
-        parts.append(map_rows(chosen, ["text", "good"], "place binary, value binary, good int", sparse))
-    rows = parts[0].unionByName(parts[1]).collect()
+    chosen = rows_of(docs, smallest_hashes(present, sizes, sample))
+    packed = map_rows(chosen, ["doc_id", "text", "kind"], "doc_id bigint, place binary, value binary, good int", sparse)
+    # at most 2 * sample rows
+    rows = sorted(one_row_per_id(packed).collect(), key=lambda r: (r["good"], r["place"], r["value"]))
     y = np.array([r["good"] for r in rows])
     place = [np.frombuffer(r["place"], dtype=np.int32) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(p) for p in place])
