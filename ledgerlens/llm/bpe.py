@@ -1,15 +1,13 @@
 """Byte-level BPE over the distinct words of all documents, and back.
 
-1. Documents are cut into pre-tokens where they lie. A block of documents (bounded by bytes) keeps each of its
-   distinct words once, numbered, and its documents as lists of word numbers: the positions.
-2. The words of all blocks meet in one shuffle; each distinct word is encoded once, and decoded once by
-   joining its ids with the token-byte table (as large as the vocabulary).
-3. Ids and bytes are joined back to the words of the blocks, and each block reassembles its
-   documents by position.
+1. Documents are cut into pre-tokens where they lie. A block of documents (bounded by characters) numbers its
+   distinct words by falling frequency and keeps its documents as lists of word numbers: the positions. Both are packed and written once to the shared folder.
+2. The words of all blocks meet in one shuffle, packed by shard (a hash of the word decides). Each distinct word is encoded once; what goes back
+   to a block are its word numbers with the ids, packed.
+3. Each block reassembles its documents by position, and decodes their ids by the token-byte table (as large as the vocabulary).
 
-A frequent word is one row per block, not per occurrence, so no word is a hot key; a long document only
-makes its own block larger. What step 1 makes is written to the shared folder, so later steps
-never depend on cutting the input in the same way twice.
+A frequent word is one entry per block, not per occurrence, so no word is a hot key; a long document only
+makes its own block larger. Later steps read what step 1 wrote, so they never depend on cutting the input in the same way twice.
 
 Cases: a null text counts as empty; an empty text has no tokens; equal rows (equal ids too) are encoded separately; a null id
 is kept; an empty table gives an empty result; further columns are not read. Words of any length are encoded in time n log n.
@@ -20,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -28,15 +27,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ledgerlens.llm.frames import text_rows
 from ledgerlens.session import stage
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text in a block of documents.
-BLOCK_BYTES = 12_000_000
+#: Characters of text in a block of documents.
+BLOCK_CHARS = 32_000_000
+#: Least number of shards of the words.
+SHARDS = 256
 #: Words up to this many bytes are merged by plain search.
 SHORT = 48
 
@@ -47,13 +47,44 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def splitter(pattern: str):
+# White space as Unicode has it, which is not what Python's str.isspace says.
+SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def _members(of: str) -> str:
+    """The characters below U+10000 that match a class of the library ``regex``, as ranges for the library ``re``."""
     import regex
 
-    # White space is what Unicode says, not what Python's str.isspace says.
-    space = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+    points = [ord(c) for c in regex.findall(of, "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000)))))]
+    starts = [c for c, before in zip(points, [-2, *points]) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -2]) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+class Splitter:
+    """Cuts a text into pre-tokens.
+
+    Texts without characters from U+10000 on, nearly all, are cut by the standard library with the classes written out, in less than half the time.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        import regex
+
+        spaced = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        self.exact = self.fast = regex.compile(spaced).findall
+        letters, numbers = _members(r"\p{L}"), _members(r"\p{N}")
+        inside = spaced.replace(r"\p{L}\p{N}]", f"{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+        if r"\p" not in inside:
+            self.fast = re.compile(inside).findall
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def findall(self, text: str) -> list[str]:
+        return self.fast(text) if text.isascii() or not self.beyond(text) else self.exact(text)
+
+
+@lru_cache(maxsize=2)
+def splitter(pattern: str) -> Splitter:
+    return Splitter(pattern)
 
 
 def encode_word(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -109,52 +140,105 @@ def encode_word(word: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
+# -- packed numbers -----------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers in their least width, byte planes apart, compressed."""
+    parts = [np.uint32(len(arrays)).tobytes()]
+    for values in arrays:
+        kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+        planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), kind.itemsize).T)
+        parts += [np.array([kind.itemsize, len(values)], dtype=np.int64).tobytes(), planes.tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    at, out = 4, []
+    for _ in range(int(np.frombuffer(raw, np.uint32, 1)[0])):
+        width, n = np.frombuffer(raw, np.int64, 2, at).tolist()
+        at += 16
+        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += width * n
+    return out
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Small numbers, the frequent ones, in one byte; what is above seven bits in a second list."""
+    large = places >= 128
+    return pack(np.where(large, 128 | (places & 127), places).astype(np.uint8), places[large] >> 7)
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    low, high = unpack(data)
+    places = low.astype(np.int64)
+    large = low >= 128
+    places[large] = (places[large] & 127) | (high.astype(np.int64) << 7)
+    return places
+
+
 # -- blocks of documents ------------------------------------------------------------------------
 
-_PARTS = "block bigint, doc_id bigint, places binary, number int, word binary"
+_PARTS = "block bigint, shard int, doc_ids array<bigint>, sizes array<bigint>, places binary, words binary"
 
 
-def _cut(pattern: str):
+def _cut(pattern: str, shards: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
-        task = TaskContext.get().partitionId() << 32
-        block, size = task, 0
-        known: dict[str, int] = {}
-        docs: list[tuple[int | None, bytes]] = []
-
-        def emit() -> pa.RecordBatch:
-            n, m = len(docs), len(known)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n + m, block)),
-                    pa.array([d for d, _ in docs] + [None] * m, pa.int64()),
-                    pa.array([p for _, p in docs] + [None] * m, pa.binary()),
-                    pa.array([None] * n + list(range(m)), pa.int32()),
-                    pa.array([None] * n + [w.encode("utf-8") for w in known], pa.binary()),
-                ],
-                names=["block", "doc_id", "places", "number", "word"],
-            )
+        cut = splitter(pattern).findall
+        block, size = TaskContext.get().partitionId() << 32, 0
+        ids: list[int | None] = []
+        sizes: list[int] = []
+        waiting: list[str] = []
+        parts: list[pa.Array] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            coded = pa.concat_arrays([*parts, pa.array(waiting, pa.large_string())]).dictionary_encode()
+            places = coded.indices.to_numpy().astype(np.int64)
+            count = np.bincount(places, minlength=len(coded.dictionary))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), None)
+            words = [w.encode("utf-8") for w in coded.dictionary.to_pylist()]
+            shard = np.fromiter((zlib.crc32(w) % shards for w in words), dtype=np.int64, count=len(words))
+            for group in np.split(by := np.lexsort((rank, shard)), np.flatnonzero(np.diff(shard[by])) + 1):
+                if len(group):
+                    own = [words[i] for i in group.tolist()]
+                    lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                    yield batch_of(int(shard[group[0]]), None, None, None, pack(rank[group], lengths, np.frombuffer(b"".join(own), dtype=np.uint8)))
+
+        def batch_of(shard: int | None, doc_ids: list | None, lengths: list | None, places: bytes | None, words: bytes | None) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            values = (block, shard, doc_ids, lengths, places, words)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "shard", "doc_ids", "sizes", "places", "words"])
 
         for batch in batches:
             for doc, text in text_rows(batch, ["doc_id", "text"]):
-                words = find(text or "")
-                places = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.uint32, count=len(words))
-                docs.append((doc, zlib.compress(places.tobytes(), 1)))
+                words = cut(text or "")
+                ids.append(doc)
+                sizes.append(len(words))
+                waiting += words
                 size += len(text or "")
-                if size >= BLOCK_BYTES:
-                    yield emit()
+                if len(waiting) >= 1_000_000:
+                    parts.append(pa.array(waiting, pa.large_string()))
+                    waiting.clear()
+                if size >= BLOCK_CHARS:
+                    yield from emit()
                     block, size = block + 1, 0
-                    known.clear()
-                    docs.clear()
-        if docs:
-            yield emit()
+                    for held in (ids, sizes, waiting, parts):
+                        held.clear()
+        if ids:
+            yield from emit()
 
     return run
 
 
-def cut_blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """Rows (block, doc_id, places) of documents and rows (block, number, word) of their distinct words."""
-    return docs.select("doc_id", "text").mapInArrow(_cut(pattern), _PARTS)
+def cut_blocks(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
+    """A row (block, doc_ids, sizes, places) for the documents of a block and rows (block, shard, words) for its distinct words."""
+    return docs.select("doc_id", "text").mapInArrow(_cut(pattern, shards), _PARTS)
 
 
 def _vocabulary_path(path: str | None) -> tuple[str, str]:
@@ -163,89 +247,122 @@ def _vocabulary_path(path: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def token_bytes(spark: SparkSession, table: dict[bytes, int]) -> DataFrame:
-    """The token-byte table (id, bytes in hex): one row per entry of the vocabulary."""
-    return spark.createDataFrame([(i, b.hex()) for b, i in table.items()], "id int, hex string")
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes one after the other, start and length by id. It has one entry per id of the vocabulary."""
+    table = {i: b for b, i in ranks(path).items()}
+    return _flat([table.get(i, b"") for i in range(max(table) + 1)])
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word binary) to (word, ids): the file is read once in each worker."""
+def _flat(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes one after the other, their starts and lengths."""
+    length = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum(length) - length, length
 
-    @F.pandas_udf("array<int>")
-    def ids(column: pd.Series) -> pd.Series:
+
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarray:
+    n = length[places]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return flat[np.repeat(start[places], n) + inside]
+
+
+def decode_ids(ids: np.ndarray, path: str) -> bytes:
+    """The bytes of a list of ids, by the token-byte table."""
+    return _gather(*token_bytes(path), ids).tobytes()
+
+
+def _encode_shard(path: str, with_ids: bool):
+    def run(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         table = ranks(path)
-        return column.map(lambda w: encode_word(bytes(w), table))
+        known: dict[bytes, int] = {}
+        rows = []
+        for block, packed in zip(blocks["block"].tolist(), blocks["words"]):
+            numbers, lengths, letters = unpack(packed)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            raw, first = letters.tobytes(), (ends - lengths).tolist()
+            rows.append((block, numbers, np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(first, ends.tolist())), dtype=np.int64, count=len(ends))))
+        encoded = [encode_word(word, table) for word in known]  # each distinct word once
+        length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.int64, count=int(length.sum()))
+        start = np.cumsum(length) - length
+        out = [(block, pack(numbers, length[at], *([_gather(flat, start, length, at)] if with_ids else []))) for block, numbers, at in rows]
+        return pd.DataFrame(out, columns=["of_block", "answer"]).astype({"of_block": "int64"})
+
+    return run
 
-    return words.select("word", ids("word").alias("ids"))
 
+def _met(docs: DataFrame, path: str, pattern: str, with_ids: bool, assemble, schema: str) -> DataFrame:
+    """Blocks of documents with the encoded words of their block."""
+    spark = docs.sparkSession
+    shards = max(SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = stage(cut_blocks(docs, pattern, shards), "blocks")
+    words = parts.where("shard IS NOT NULL").select("block", "shard", "words")
+    answers = words.groupBy("shard").applyInPandas(_encode_shard(path, with_ids), "of_block bigint, answer binary")
+    texts = parts.where("shard IS NULL").select("block", "doc_ids", "sizes", "places")
+    return texts.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(assemble, schema)
 
-def decode_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, ids) to (word, ids, decoded) by a join with the token-byte table."""
-    placed = encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
-    # the table has one row per entry of the vocabulary, whatever the corpus
-    joined = placed.join(F.broadcast(vocabulary), "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "hex"))), lambda x: x["hex"])
-    return joined.groupBy("word").agg(
-        F.first("ids").alias("ids"), F.unhex(F.array_join(ordered, "")).alias("decoded")
-    )
 
+def _documents(texts: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, numbers of its words) of a block; it has one row."""
+    for ids, sizes, packed in zip(texts["doc_ids"], texts["sizes"], texts["places"]):
+        places, at = unpack_places(packed), 0
+        for doc, n in zip(ids, sizes):
+            yield (None if doc is None or doc != doc else int(doc)), places[at : at + int(n)]
+            at += int(n)
 
+
+def _answers(words: pd.DataFrame) -> list[np.ndarray]:
+    """Packed lists of all shards, joined."""
+    lists = [unpack(answer) for answer in words["answer"]]
+    return [np.concatenate([x[k] for x in lists]) for k in range(len(lists[0]))] if lists else [np.zeros(0, np.int64)] * 3
+
+
+_ENCODED = "doc_id bigint, ids array<int>"
 _RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def _flat(values: list, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values one after the other, their starts and lengths."""
-    length = np.array([len(v) for v in values], dtype=np.int64)
-    return np.concatenate([np.asarray(v, dtype=dtype) for v in values]) if values else np.zeros(0, dtype), np.cumsum(length) - length, length
+def _token_lists(texts: pd.DataFrame, words: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
+    numbers, lengths, flat = _answers(words)[:3]
+    start, length = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
+    start[numbers], length[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
+    for doc, places in _documents(texts):
+        yield doc, _gather(flat, start, length, places)
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarray:
-    n = length[places]
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return flat[np.repeat(start[places], n) + inside]
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids): the tokens of every document."""
+    path, pattern = _vocabulary_path(path)
 
+    def assemble(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        rows = [(doc, ids.astype(np.int32)) for doc, ids in _token_lists(texts, words)]
+        return pd.DataFrame(rows, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
 
-def _assemble(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    words = words.sort_values("number")
-    ids = _flat(words["ids"].tolist(), np.uint32)
-    decoded = _flat([np.frombuffer(bytes(d), dtype=np.uint8) for d in words["decoded"]], np.uint8)
-    out = []
-    for doc, packed in zip(docs["doc_id"].tolist(), docs["places"]):
-        places = np.frombuffer(zlib.decompress(packed), dtype=np.uint32).astype(np.int64)
-        tokens = _gather(*ids, places)
-        text = _gather(*decoded, places)
-        out.append(
-            (None if pd.isna(doc) else int(doc), len(tokens), hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.tobytes()).hexdigest())
-        )
-    frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return frame.astype({"doc_id": "Int64"})
+    return _met(docs, path, pattern, True, assemble, _ENCODED)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: number of tokens, digest of the ids and of the decoded bytes."""
+    """One row per document: number of tokens, digest of the ids and of the bytes decoded from them."""
     path, pattern = _vocabulary_path(path)
-    spark = docs.sparkSession
-    parts = stage(cut_blocks(docs, pattern), "blocks")
-    words = parts.where("word IS NOT NULL").select("block", "number", "word")
-    encoded = encode_words(words.select("word").distinct(), path)
-    decoded = decode_words(encoded, token_bytes(spark, ranks(path)))
-    known = words.join(decoded, "word").select(F.col("block").alias("of_block"), "number", "ids", "decoded")
-    texts = parts.where("word IS NULL").select("block", "doc_id", "places")
-    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(_assemble, _RESULT)
 
+    def assemble(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        rows = [
+            (doc, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(ids, path)).hexdigest())
+            for doc, ids in _token_lists(texts, words)
+        ]
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-def _count(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    length = words.sort_values("number")["n"].to_numpy(dtype=np.int64)
-    counts = [int(length[np.frombuffer(zlib.decompress(p), dtype=np.uint32).astype(np.int64)].sum()) for p in docs["places"]]
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n": pd.array(counts, dtype="int64")})
+    return _met(docs, path, pattern, True, assemble, _RESULT)
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n): the number of tokens of each document; distinct words are encoded once, their lengths joined back."""
+    """(doc_id, n): the number of tokens of each document; only the lengths of the words come back."""
     path, pattern = _vocabulary_path(path)
-    parts = stage(cut_blocks(docs, pattern), "blocks")
-    words = parts.where("word IS NOT NULL").select("block", "number", "word")
-    encoded = encode_words(words.select("word").distinct(), path).select("word", F.size("ids").alias("n"))
-    known = words.join(encoded, "word").select(F.col("block").alias("of_block"), "number", "n")
-    texts = parts.where("word IS NULL").select("block", "doc_id", "places")
-    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(_count, "doc_id bigint, n bigint")
+
+    def assemble(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        numbers, lengths = _answers(words)[:2]
+        length = np.zeros(len(numbers), dtype=np.int64)
+        length[numbers] = lengths
+        rows = [(doc, int(length[places].sum())) for doc, places in _documents(texts)]
+        return pd.DataFrame(rows, columns=["doc_id", "n"]).astype({"doc_id": "Int64"})
+
+    return _met(docs, path, pattern, False, assemble, "doc_id bigint, n bigint")

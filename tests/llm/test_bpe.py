@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from ledgerlens.llm import bpe
@@ -47,3 +48,37 @@ def test_whole_table(spark, library):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted([tuple(r) for r in bpe.round_trip(docs).collect()], key=repr) == expected(library, rows)
+
+
+def test_cutting_by_either_library():
+    """The written-out classes cut as the library's own ones do."""
+    import regex
+
+    space = bpe.SPACE
+    exact = regex.compile(P.PATTERN.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")).findall
+    rnd = random.Random(9)
+    letters = "ab Z9²'strevml \n\t\r.-\x1c\x85\xa0  　éß中กำ\U0001f600\U00020000\U0001d7ce٣Ⅻ"
+    for _ in range(4000):
+        text = "".join(rnd.choice(letters if rnd.random() < 0.5 else letters[:24]) for _ in range(rnd.randrange(30)))
+        assert bpe.splitter(P.PATTERN).findall(text) == exact(text)
+    every = "".join(chr(c) + rnd.choice(" a1.") for c in (*range(0xD800), *range(0xE000, 0x10000)))
+    assert bpe.splitter(P.PATTERN).findall(every) == exact(every)
+
+
+@pytest.mark.parametrize("top", [0, 1, 127, 128, 300, 70_000, 2**31])
+def test_packed_numbers(top):
+    rnd = np.random.default_rng(top)
+    for n in (0, 1, 500):
+        values = rnd.integers(0, top + 1, n)
+        assert bpe.unpack_places(bpe.pack_places(values)).tolist() == values.tolist()
+        assert [x.tolist() for x in bpe.unpack(bpe.pack(values, values[:1]))] == [values.tolist(), values[:1].tolist()]
+
+
+def test_many_blocks(spark, library):
+    """Words in many blocks; tokens as lists."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(["the", "word", "é中", "x" * 60, "12 34"]) for _ in range(rnd.randrange(30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
+    assert got == {d: library.encode_ordinary(t) for d, t in rows}
+    assert {r["doc_id"]: r["n"] for r in bpe.token_counts(docs).collect()} == {d: len(ids) for d, ids in got.items()}
