@@ -2,8 +2,8 @@
 
 1. Documents are cut into pre-tokens where they lie. A block of documents (bounded by characters) numbers its
    distinct words by falling frequency and keeps its documents as lists of word numbers: the positions. Both are packed and written once to the shared folder.
-2. The words of all blocks meet in one shuffle, packed by shard (a hash of the word decides). Each distinct word is encoded once; what goes back
-   to a block are its word numbers with the ids, packed.
+2. The words of all blocks meet in one shuffle, packed and sorted by shard (a hash of the word decides). Each distinct word is encoded once; what goes back
+   to a block are the ids in the order of its words; the block keeps the numbers in that order.
 3. Each block reassembles its documents by position, and decodes their ids by the token-byte table (as large as the vocabulary).
 
 A frequent word is one entry per block, not per occurrence, so no word is a hot key; a long document only
@@ -22,6 +22,8 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000
 #: Least number of shards of the words.
 SHARDS = 256
+#: Effort of the compression of packed numbers.
+LEVEL = 5
 #: Words up to this many bytes are merged by plain search.
 SHORT = 48
 
@@ -151,7 +155,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), kind.itemsize).T)
         parts += [np.array([kind.itemsize, len(values)], dtype=np.int64).tobytes(), planes.tobytes()]
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -182,7 +186,7 @@ def unpack_places(data: bytes) -> np.ndarray:
 
 # -- blocks of documents ------------------------------------------------------------------------
 
-_PARTS = "block bigint, shard int, doc_ids array<bigint>, sizes array<bigint>, places binary, words binary"
+_PARTS = "block bigint, shard int, doc_ids array<bigint>, sizes array<bigint>, places binary, numbers binary, words binary"
 
 
 def _cut(pattern: str, shards: int):
@@ -201,19 +205,19 @@ def _cut(pattern: str, shards: int):
             order = np.argsort(-count, kind="stable")
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), None)
             words = [w.encode("utf-8") for w in coded.dictionary.to_pylist()]
-            shard = np.fromiter((zlib.crc32(w) % shards for w in words), dtype=np.int64, count=len(words))
-            for group in np.split(by := np.lexsort((rank, shard)), np.flatnonzero(np.diff(shard[by])) + 1):
-                if len(group):
-                    own = [words[i] for i in group.tolist()]
-                    lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-                    yield batch_of(int(shard[group[0]]), None, None, None, pack(rank[group], lengths, np.frombuffer(b"".join(own), dtype=np.uint8)))
-
-        def batch_of(shard: int | None, doc_ids: list | None, lengths: list | None, places: bytes | None, words: bytes | None) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            values = (block, shard, doc_ids, lengths, places, words)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "shard", "doc_ids", "sizes", "places", "words"])
+            asked = sorted((zlib.crc32(w) % shards, w, i) for i, w in enumerate(words))
+            numbers = rank[np.fromiter((i for _, _, i in asked), dtype=np.int64, count=len(asked))]
+            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), pack(numbers), None)
+            for shard, group in groupby(asked, key=itemgetter(0)):
+                own = [w for _, w, _ in group]
+                lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                yield batch_of(shard, None, None, None, None, pack(lengths, np.frombuffer(b"".join(own), dtype=np.uint8)))
+
+        def batch_of(*values) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array([block]), *(pa.array([v], k) for v, k in zip(values, kinds))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "shard", "doc_ids", "sizes", "places", "numbers", "words"])
 
         for batch in batches:
             for doc, text in text_rows(batch, ["doc_id", "text"]):
@@ -237,7 +241,7 @@ def _cut(pattern: str, shards: int):
 
 
 def cut_blocks(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
-    """A row (block, doc_ids, sizes, places) for the documents of a block and rows (block, shard, words) for its distinct words."""
+    """A row (block, doc_ids, sizes, places, numbers) for the documents of a block and rows (block, shard, words) for its distinct words."""
     return docs.select("doc_id", "text").mapInArrow(_cut(pattern, shards), _PARTS)
 
 
@@ -277,16 +281,16 @@ def _encode_shard(path: str, with_ids: bool):
         known: dict[bytes, int] = {}
         rows = []
         for block, packed in zip(blocks["block"].tolist(), blocks["words"]):
-            numbers, lengths, letters = unpack(packed)
+            lengths, letters = unpack(packed)
             ends = np.cumsum(lengths, dtype=np.int64)
             raw, first = letters.tobytes(), (ends - lengths).tolist()
-            rows.append((block, numbers, np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(first, ends.tolist())), dtype=np.int64, count=len(ends))))
+            rows.append((block, np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(first, ends.tolist())), dtype=np.int64, count=len(ends))))
         encoded = [encode_word(word, table) for word in known]  # each distinct word once
         length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.int64, count=int(length.sum()))
         start = np.cumsum(length) - length
-        out = [(block, pack(numbers, length[at], *([_gather(flat, start, length, at)] if with_ids else []))) for block, numbers, at in rows]
-        return pd.DataFrame(out, columns=["of_block", "answer"]).astype({"of_block": "int64"})
+        out = [(block, key[0], pack(length[at], *([_gather(flat, start, length, at)] if with_ids else []))) for block, at in rows]
+        return pd.DataFrame(out, columns=["of_block", "of_shard", "answer"]).astype({"of_block": "int64"})
 
     return run
 
@@ -297,8 +301,8 @@ def _met(docs: DataFrame, path: str, pattern: str, with_ids: bool, assemble, sch
     shards = max(SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = stage(cut_blocks(docs, pattern, shards), "blocks")
     words = parts.where("shard IS NOT NULL").select("block", "shard", "words")
-    answers = words.groupBy("shard").applyInPandas(_encode_shard(path, with_ids), "of_block bigint, answer binary")
-    texts = parts.where("shard IS NULL").select("block", "doc_ids", "sizes", "places")
+    answers = words.groupBy("shard").applyInPandas(_encode_shard(path, with_ids), "of_block bigint, of_shard int, answer binary")
+    texts = parts.where("shard IS NULL").select("block", "doc_ids", "sizes", "places", "numbers")
     return texts.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(assemble, schema)
 
 
@@ -311,10 +315,11 @@ def _documents(texts: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
             at += int(n)
 
 
-def _answers(words: pd.DataFrame) -> list[np.ndarray]:
-    """Packed lists of all shards, joined."""
-    lists = [unpack(answer) for answer in words["answer"]]
-    return [np.concatenate([x[k] for x in lists]) for k in range(len(lists[0]))] if lists else [np.zeros(0, np.int64)] * 3
+def _answers(texts: pd.DataFrame, words: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers of a block's words, and what all shards say of them in that order."""
+    lists = [unpack(answer) for answer in words.sort_values("of_shard")["answer"]]
+    joined = [np.concatenate([x[k] for x in lists]) for k in range(len(lists[0]))] if lists else [np.zeros(0, np.int64)] * 2
+    return unpack(texts["numbers"].iloc[0])[0], joined
 
 
 _ENCODED = "doc_id bigint, ids array<int>"
@@ -322,7 +327,7 @@ _RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 str
 
 
 def _token_lists(texts: pd.DataFrame, words: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
-    numbers, lengths, flat = _answers(words)[:3]
+    numbers, (lengths, flat) = _answers(texts, words)
     start, length = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
     start[numbers], length[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
     for doc, places in _documents(texts):
@@ -359,7 +364,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, pattern = _vocabulary_path(path)
 
     def assemble(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        numbers, lengths = _answers(words)[:2]
+        numbers, (lengths, *_) = _answers(texts, words)
         length = np.zeros(len(numbers), dtype=np.int64)
         length[numbers] = lengths
         rows = [(doc, int(length[places].sum())) for doc, places in _documents(texts)]
