@@ -74,6 +74,14 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underlines as it takes to differ from all columns; Spark does not tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_or(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(f"`{name}`") if has_column(df, name) else default
 

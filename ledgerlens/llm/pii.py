@@ -3,12 +3,13 @@
 The base spans come from four patterns. The field adds spans: its nodes are the tokens with a digit or an
 at sign, its labels the four kinds or none. A node's own potential is a softmax over features of the token and its
 neighbours; neighbouring tokens share a transition potential; and tokens that recur anywhere in the
-document (equal, or with equal digits) share a potential for equal labels. Occurrences are linked one to the next, so a
-token repeated n times has n - 1 links. Loopy belief propagation passes messages over both kinds of links;
+document (equal, or with equal digits) share a potential for equal labels. All occurrences of a token hang on one hub, so that a
+token repeated n times has n links and evidence reaches every repeat in two steps. Tokens of base spans are evidence: their labels are
+fixed. Loopy belief propagation passes messages over both kinds of links until they settle (``PASSES`` rounds at most, as a loopy graph may never do so);
 a token that no base span covers becomes a span where the belief in a kind is high.
 
-The field is trained on the base spans of a bounded sample (``TRAIN_DOCS`` documents with such tokens, those with the smallest
-hashes); its weights are of fixed size and go to the tasks. Each document is labelled where it lies; nothing is shuffled.
+The field is trained on the base spans of a bounded sample: ``TRAIN_DOCS`` documents with such tokens and at most ``TRAIN_CHARS`` characters, those with the smallest
+hashes; its weights are of fixed size and go to the tasks. Each document, of any length, is labelled where it lies; nothing is shuffled.
 
 Cases: a null text counts as empty and has no spans; equal texts get equal spans; with no tokens to train on nothing
 is added; an empty table gives an empty result; further columns are not read. All patterns take time in
@@ -26,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.frames import Span, map_rows, sha256, span_text
+from ledgerlens.llm.training_sample import share_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
-#: Documents that the field is trained on.
+#: Documents that the field is trained on, and characters of the longest of them.
 TRAIN_DOCS = 4_000
+TRAIN_CHARS = 20_000
 FEATURES = 1 << 13
 ROUNDS = 120
 RATE = 0.5
 PENALTY = 0.02
-PASSES = 12
+PASSES = 200
+CLAMP = 30.0
 DAMPING = 0.3
 BELIEF = 0.9
 
@@ -157,6 +161,30 @@ def skip_links(nodes: list[Token]) -> list[tuple[int, int]]:
     return sorted(links)
 
 
+def repeats(nodes: list[Token]) -> list[list[int]]:
+    """The nodes that are equal in lower case, and those of the same seven or more digits; two or more each."""
+    groups: dict[str, list[int]] = {}
+    for i, node in enumerate(nodes):
+        digits = "".join(c for c in node.text if "0" <= c <= "9")
+        groups.setdefault(f"d{digits}" if len(digits) >= 7 else f"t{node.text.lower()}", []).append(i)
+        if len(digits) >= 7:
+            groups.setdefault(f"t{node.text.lower()}", []).append(i)
+    found = {tuple(g) for g in groups.values() if len(g) > 1}
+    return [list(g) for g in sorted(found)]
+
+
+def hub_links(n: int, groups: list[list[int]]) -> list[tuple[int, int]]:
+    """Links of each node with the hub of its group; hubs are numbered from n on. Two nodes need no hub."""
+    links = []
+    for group in groups:
+        if len(group) == 2:
+            links.append((group[0], group[1]))
+        else:
+            links += [(i, n) for i in group]
+            n += 1
+    return links
+
+
 def token_labels(nodes: list[Token], spans: list[Span]) -> np.ndarray:
     """The kind of the base span that a token lies in, or 0; the first kind listed wins."""
     out = np.zeros(len(nodes), dtype=np.int64)
@@ -176,12 +204,18 @@ class Field:
     chain: np.ndarray
     skip: float
 
-    def beliefs(self, nodes: list[Token], links: list[tuple[int, int]]) -> np.ndarray:
-        """Marginals of the labels by loopy belief propagation."""
+    def beliefs(self, nodes: list[Token], links: list[tuple[int, int]], fixed: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of the labels by loopy belief propagation. Links may name hubs, numbered after the nodes; ``fixed`` holds known labels, 0 for none."""
         own = self.own[np.array([n.features for n in nodes])].sum(axis=1)
+        if fixed is not None:
+            known = np.flatnonzero(fixed)
+            own[known] = -CLAMP
+            own[known, fixed[known]] = CLAMP
+        hubs = max([len(nodes) - 1, *(b for _, b in links)]) + 1 - len(nodes)
+        own = np.concatenate([own, np.zeros((hubs, len(LABELS)))]).astype(np.float64)
         follow = [(i - 1, i) for i, n in enumerate(nodes) if n.follows]
         if not follow and not links:
-            return _softmax(own)
+            return _softmax(own[: len(nodes)])
         edges = np.array(follow + links, dtype=np.int64)
         same = np.eye(len(LABELS)) * self.skip
         potential = np.concatenate([np.repeat(self.chain[None], len(follow), 0), np.repeat(same[None], len(links), 0)])
@@ -203,7 +237,7 @@ class Field:
                 break
         total = own.copy()
         np.add.at(total, target, message)
-        return _softmax(total)
+        return _softmax(total[: len(nodes)])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -249,7 +283,11 @@ def _example(row: tuple) -> tuple:
 
 
 def train_field(docs: DataFrame, sample: int = TRAIN_DOCS) -> Field | None:
-    chosen = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text")).limit(sample)
+    fit = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
+    # texts that cannot be among the smallest hashes are left out before any are sorted
+    size = fit.count()
+    share = share_of(F.col("text"))
+    chosen = fit.where(share < min(1.0, (1.2 * sample + 200) / max(1, size))).orderBy(share, "text").limit(sample)
     schema = "features array<array<int>>, labels array<int>, follows array<boolean>, links array<array<int>>"
     rows = map_rows(chosen, ["text"], schema, _example).collect()
     return fit_field([(r["features"], r["labels"], r["follows"], [tuple(x) for x in r["links"]]) for r in rows])
@@ -262,9 +300,10 @@ def added_spans(text: str, known: list[Span], field: Field | None) -> list[Span]
     nodes = tokens(text)
     if not nodes:
         return []
-    beliefs = field.beliefs(nodes, skip_links(nodes))
+    labels = token_labels(nodes, known)
+    beliefs = field.beliefs(nodes, hub_links(len(nodes), repeats(nodes)), labels)
     best = beliefs.argmax(axis=1)
-    sure = (beliefs.max(axis=1) >= BELIEF) & (best > 0) & (token_labels(nodes, known) == 0)
+    sure = (beliefs.max(axis=1) >= BELIEF) & (best > 0) & (labels == 0)
     out: list[Span] = []
     previous = -2
     for i in np.flatnonzero(sure).tolist():

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.frames import column_or, has_column, keep_rows, map_rows, text_rows
+from ledgerlens.llm.frames import column_or, fresh_name, has_column, keep_rows, map_rows, text_rows
 from ledgerlens.session import stage
 
 #: Common words of a language.
@@ -220,10 +220,11 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     return {r["_of_lang"]: parsed(r["_reference"]) for r in reference_table(docs).collect()}
 
 
-def with_reference(docs: DataFrame) -> DataFrame:
-    """The documents with the reference of their language in a last column, null where there is none."""
-    known = reference_table(docs)
-    return docs.join(known, languages(docs) == known["_of_lang"], "left").drop("_of_lang")
+def with_reference(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with the reference of their language in a last column, null where there is none; and that column's name."""
+    lang, name = fresh_name(docs, "_of_lang"), fresh_name(docs, "_reference")
+    known = reference_table(docs).toDF(lang, name)
+    return docs.join(known, languages(docs) == known[lang], "left").drop(lang), name
 
 
 # -- distances ----------------------------------------------------------------------------------
@@ -287,12 +288,13 @@ def _judge_of(limits: Limits) -> Callable[[str | None, str | None], tuple]:
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document with the base counts, both distances and the verdict."""
-    shaped = with_reference(docs.select("doc_id", "text", languages(docs).alias("lang")))
+    shaped, name = with_reference(docs.select("doc_id", "text", languages(docs).alias("lang")))
     verdict = _judge_of(limits)
-    return map_rows(shaped, ["doc_id", "text", "_reference"], OUTPUT, lambda r: (r[0], *verdict(r[1], r[2])))
+    return map_rows(shaped, ["doc_id", "text", name], OUTPUT, lambda r: (r[0], *verdict(r[1], r[2])))
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
     verdict = _judge_of(limits)
-    return keep_rows(with_reference(docs), ["text", "_reference"], lambda r: verdict(*r)[-3]).drop("_reference")
+    shaped, name = with_reference(docs)
+    return keep_rows(shaped, ["text", name], lambda r: verdict(*r)[-3]).drop(name)

@@ -20,6 +20,7 @@ empty result; further columns are not read. Texts of any length are taken in blo
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,13 +208,21 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, levels: int | None = None
     # ids that stay are ids of the components; rows without an id stay if nothing in their class has one
     staying = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("__id")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.join(staying, docs["doc_id"] == staying["__id"], "left_semi").groupBy("doc_id").agg(F.min(row).alias("__row"))
+    order = _order(docs)
+    named = docs.join(staying, docs["doc_id"] == staying["__id"], "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("__row"))
     orphans = groups.where("component_id IS NULL").select("fp")
-    loose = docs.where("doc_id IS NULL").select(row.alias("__row"), _fingerprint_column()(F.col("text")).alias("fp"))
-    loose = loose.join(orphans, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__row"))
+    loose = docs.where("doc_id IS NULL").select(row.alias("__row"), order.alias("__order"), _fingerprint_column()(F.col("text")).alias("fp"))
+    loose = loose.join(orphans, "fp", "left_semi").groupBy("fp").agg(F.min_by("__row", "__order").alias("__row"))
     return named.select("__row").unionByName(loose.select("__row")).select(*[F.col(f"__row.`{c}`") for c in docs.columns])
 
 
+def _order(docs: DataFrame) -> Column:
+    """What rows are compared by: all columns that have an order, then the others (maps) as JSON."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search(r"\b(map<|variant\b|interval\b)", f.dataType.simpleString())]
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields if re.search(r"\b(map<|variant\b|interval\b)", f.dataType.simpleString())]
+    return F.struct(*plain, *[c.alias(f"json{i}") for i, c in enumerate(others)])
+
+
 def _fingerprint_column():
     @F.pandas_udf("bigint")
     def column(texts: pd.Series) -> pd.Series:

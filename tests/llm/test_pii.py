@@ -89,3 +89,43 @@ def test_repeats_agree(spark):
     linked = field.beliefs(nodes, P.skip_links(nodes))
     apart = field.beliefs(nodes, [])
     assert linked[1].argmax() == P.LABELS.index("phone") and linked[1].max() > apart[1].max() + 0.3
+
+
+def test_evidence_reaches_every_repeat():
+    """A base span of one occurrence labels the hundredth one."""
+    import numpy as np
+
+    nodes = P.tokens("5550100200 " + "and 5550100200 " * 99)
+    field = P.Field(np.zeros((P.FEATURES, len(P.LABELS)), dtype=np.float32), np.zeros((5, 5)), 4.0)
+    fixed = np.zeros(len(nodes), dtype=np.int64)
+    fixed[0] = P.LABELS.index("phone")
+    held = field.beliefs(nodes, P.hub_links(len(nodes), P.repeats(nodes)), fixed)
+    assert held[:, P.LABELS.index("phone")].min() > 0.85
+
+
+def test_beliefs_are_the_marginals_of_a_tree():
+    """Without loops, belief propagation equals the sum over all labellings."""
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    nodes = P.tokens("a1 b2 x y c3 and a1 then a1")
+    k = len(P.LABELS)
+    field = P.Field(rnd.normal(size=(P.FEATURES, k)).astype(np.float32) / 4, rnd.normal(size=(k, k)) / 2, 1.3)
+    links = P.hub_links(len(nodes), P.repeats(nodes))
+    assert links == [(0, 5), (3, 5), (4, 5)] and sum(n.follows for n in nodes) == 1
+    own = field.own[np.array([n.features for n in nodes])].sum(axis=1)
+    weight = np.zeros((len(nodes), k))
+    for labels in itertools.product(range(k), repeat=len(nodes) + 1):
+        z = sum(own[i, labels[i]] for i in range(len(nodes))) + sum(field.skip * (labels[a] == labels[b]) for a, b in links)
+        z += sum(field.chain[labels[i - 1], labels[i]] for i in range(1, len(nodes)) if nodes[i].follows)
+        for i in range(len(nodes)):
+            weight[i, labels[i]] += np.exp(z)
+    assert np.allclose(field.beliefs(nodes, links), weight / weight.sum(axis=1, keepdims=True), atol=5e-3)
+
+
+def test_a_hundred_thousand_numbers(spark):
+    rows = [(1, "".join(f"{i % 977} " for i in range(100_000)) + "me@x.org"), (2, "call +49 30 1234567 or me@x.org")]
+    got = compare(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(got) == 2

@@ -2,6 +2,7 @@
 
 import pytest
 
+from ledgerlens.llm import quality_rules, simhash
 from ledgerlens.llm import packing, pii, quality_rules, simhash, toxicity
 from tests.conftest import DATA
 
@@ -66,3 +67,17 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_that_clash_and_maps(spark):
+    """Names that stages use inside, and columns without an order, pass through."""
+    text = "Plain words of a sentence that goes on, with commas and a full stop at the end. " * 12
+    rows = [(1, text, "en", {"a": 1}, "r", "l"), (2, text + "more", "en", {"b": 2}, "r2", "l2"), (2, text + "more", "en", {"c": 2}, "r3", None), (None, text[:700], None, None, "r", "l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, notes map<string,int>, _reference string, _OF_LANG string")
+    kept = quality_rules.passing(docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["_reference"], r["_OF_LANG"]) for r in kept.collect()} <= {(r[0], r[4], r[5]) for r in rows}
+    assert quality_rules.judge(docs).count() == len(rows)
+    single = simhash.one_of_each(docs)
+    assert single.columns == docs.columns
+    assert all(isinstance(r["notes"], dict | None) for r in single.collect())
