@@ -299,6 +299,29 @@ def partition_questions(spark, folder):
     return J.read_questions(spark, f"{path}/database=src3").select("id", "dialect")
 
 
+@add(
+    "open_questions",
+    Q_SQL + """SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, 202400 + doc_id % 12 AS query_time, CASE WHEN doc_id % 2 = 0 THEN '{"tables":["' || dialect || '"]}' END AS schema,
+CAST(doc_id AS VARCHAR) AS score, '{"by":["' || dialect || '",' || doc_id || '],"ok":true}' AS review, CASE WHEN doc_id % 3 = 0 THEN '"a \\"b\\""' END AS note FROM q""",
+)
+def open_questions(spark, folder):
+    """Keys without a column of their own, on every level, written and read again."""
+    path = shared_dir(spark, "questions")
+    corpus, n = questions(spark, folder), F.col("pos")
+    review = F.concat(F.lit('{"by":["'), "dialect", F.lit('",'), n.cast("string"), F.lit('],"ok":true}'))
+    extra = F.map_from_arrays(F.array(F.lit("/score"), F.lit("/metadata/review"), F.lit("/context/user_profile/note")), F.array(n.cast("string"), review, F.lit('"a \\"b\\""')))
+    open_corpus = corpus.select(
+        "*",
+        (202400 + n % 12).alias("query_time"),
+        F.when(n % 2 == 0, F.concat(F.lit('{"tables":["'), "dialect", F.lit('"]}'))).alias("schema"),
+        F.map_filter(extra, lambda k, v: (k != "/context/user_profile/note") | (n % 3 == 0)).alias("extra"),
+    )
+    J.write_questions(open_corpus, path)
+    back = J.read_questions(spark, path)
+    named = {"score": "/score", "review": "/metadata/review", "note": "/context/user_profile/note"}
+    return back.select("pos", "id", "query_time", "schema", *[F.col("extra")[key].alias(name) for name, key in named.items()])
+
+
 @add("read_submission", "SELECT format('Q{:05d}', doc_id) AS id, CASE WHEN toxic = 1 THEN '' ELSE 'SELECT ''' || quality || '''' END AS sql, NULL AS error FROM labels")
 def read_submission(spark, folder):
     path = shared_dir(spark, "submission")
@@ -469,8 +492,28 @@ def resolve_synonyms(spark, folder):
     )
     mentions = base.select("o_orderkey", F.explode(short).alias("m")).select("o_orderkey", "m.*")
     text = F.concat(F.lit("sales: ("), F.lower("c_mktsegment"), F.lit("), total"))
-    spoken = V.phrases(base.select("o_orderkey", text.alias("text")), "text").select("o_orderkey", "term", "context")
-    return V.resolve_synonyms(mentions.unionByName(spoken), dictionary(spark, folder)).select("o_orderkey", "term", "field", "standard_word")
+    known = dictionary(spark, folder)
+    spoken = V.find_terms(base.select("o_orderkey", text.alias("text")), "text", known)
+    columns = "o_orderkey", "term", "field", "standard_word"
+    return V.resolve_synonyms(mentions, known).select(*columns).unionByName(spoken.select(*columns))
+
+
+@add(
+    "resolve_free_text",
+    """WITH b AS (SELECT c_custkey, n_name, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, 6 AS start, lower(regexp_replace(n_name, '[^A-Za-z0-9_]+', ' ', 'g')) AS term, n_name AS standard_word FROM b
+UNION ALL SELECT c_custkey, 1, 'grand people s republic of ' || lower(regexp_replace(n_name, '[^A-Za-z0-9_]+', ' ', 'g')), n_name FROM b
+UNION ALL SELECT c_custkey, 7 + len(regexp_split_to_array(n_name, '[^A-Za-z0-9_]+')) - 1, '第 ' || n_nationkey || ' 国 家', n_name FROM b""",
+)
+def resolve_free_text(spark, folder):
+    """Terms of more than four words, with hyphens, apostrophes and Chinese characters, found in running text."""
+    nation = table(spark, folder, "nation")
+    name, number = F.col("n_name"), F.col("n_nationkey").cast("string")
+    synonyms = F.array(F.concat(F.lit("Grand People's Republic of "), name), F.concat(F.lit("第"), number, F.lit("国家")))
+    known = nation.select(F.lit("n_name").alias("field"), name.alias("standard_word"), synonyms.alias("synonyms"))
+    text = F.concat(F.lit("GRAND PEOPLE\u2019S republic-of "), F.lower(name), F.lit(",第"), number, F.lit("国家的客户"))
+    texts = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.alias("text"))
+    return V.find_terms(texts, "text", known).select("c_custkey", "start", "term", "standard_word")
 
 
 @add("ambiguous_synonyms", DICTIONARY_SQL + "SELECT term, COUNT(DISTINCT field || standard_word) AS targets FROM e GROUP BY term HAVING COUNT(DISTINCT field || standard_word) > 1")

@@ -2,14 +2,19 @@
 
 The driver only submits SQL text, several statements at a time; each result goes straight from the
 executors to the shared folder, one folder per statement. Scoring is one job over all of them.
-Statements that fail are told in the run list, with the error of Spark.
+Statements that fail are told in the run list, with the error of Spark; the list is written in batches.
+
+Each database has a session of its own with its tables as temporary views, so that databases may share
+table names. A statement runs in the session of its question's database.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +22,11 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import questions as Q
 from ledgerlens.operators import report as P
 from ledgerlens.operators import rows as R
-from ledgerlens.session import shared_dir, stage
+from ledgerlens.session import SETTINGS, shared_dir, stage
 
 RUNS = "query_id string, side string, variant int, error string"
+BATCH = 1000  # entries of the run list that are held at a time
+SESSIONS = 64  # databases that are kept open
 
 
 @dataclass(frozen=True)
@@ -28,6 +35,46 @@ class Statement:
     side: str
     variant: int
     sql: str
+    benchmark: str | None = None
+    database: str | None = None
+
+
+def database_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog of a folder ``root/<benchmark>/<database>/<table>.parquet``: (benchmark, database, name, path). Only paths are listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    place = "^(.*?/([^/]+)/([^/]+)/([^/]+)\\.parquet)(/.*)?$"
+    part = lambda k: F.regexp_extract("path", place, k)
+    return files.select(part(2).alias("benchmark"), part(3).alias("database"), part(4).alias("name"), part(1).alias("path")).distinct()
+
+
+class Databases:
+    """Sessions by database. Without a catalog every statement runs in the given session."""
+
+    def __init__(self, spark: SparkSession, catalog: DataFrame | None) -> None:
+        self.spark, self.catalog = spark, catalog
+        self.open: OrderedDict[tuple, SparkSession] = OrderedDict()
+        self.lock = Lock()
+
+    def session(self, benchmark: str | None, database: str | None) -> SparkSession:
+        if self.catalog is None:
+            return self.spark
+        key = (benchmark, database)
+        with self.lock:
+            if key not in self.open:
+                self.open[key] = self._opened(*key)
+                if len(self.open) > SESSIONS:
+                    self.open.popitem(last=False)
+            self.open.move_to_end(key)
+            return self.open[key]
+
+    def _opened(self, benchmark: str | None, database: str | None) -> SparkSession:
+        own = self.spark.newSession()
+        for setting in (*SETTINGS, "spark.sql.shuffle.partitions"):
+            own.conf.set(setting, self.spark.conf.get(setting))
+        here = F.col("benchmark").eqNullSafe(F.lit(benchmark)) & F.col("database").eqNullSafe(F.lit(database))
+        for table in self.catalog.where(here).collect():  # the tables of one database
+            own.read.parquet(table["path"]).createOrReplaceTempView(table["name"])
+        return own
 
 
 def result_rows(frame: DataFrame, statement: Statement, ndigits: int = 3) -> DataFrame:
@@ -44,10 +91,11 @@ def result_rows(frame: DataFrame, statement: Statement, ndigits: int = 3) -> Dat
     return R.norm_cells(numbered, names, ndigits)
 
 
-def _run(spark: SparkSession, statement: Statement, path: str, ndigits: int) -> tuple:
+def _run(databases: Databases, statement: Statement, path: str, ndigits: int) -> tuple:
     key = (statement.query_id, statement.side, statement.variant)
     try:
-        result_rows(spark.sql(statement.sql), statement, ndigits).write.parquet(path)
+        own = databases.session(statement.benchmark, statement.database)
+        result_rows(own.sql(statement.sql), statement, ndigits).write.parquet(path)
         return (*key, None)
     except Exception as error:  # any failure of a statement is its outcome, not ours
         first = str(error).strip().splitlines()
@@ -55,35 +103,53 @@ def _run(spark: SparkSession, statement: Statement, path: str, ndigits: int) ->
 
 
 def run_statements(
-    spark: SparkSession, statements: Iterator[Statement], ndigits: int = 3, parallel: int = 8
+    spark: SparkSession, statements: Iterator[Statement], ndigits: int = 3, parallel: int = 8, catalog: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Execute statements and return (results, runs). At most ``parallel`` texts are held at a time."""
-    folder = shared_dir(spark, "results")
+    """Execute statements and return (results, runs). At most ``parallel`` texts and ``BATCH`` outcomes are held at a time.
+
+    ``catalog(benchmark, database, name, path)`` names the tables of the databases.
+    """
+    folder, told = shared_dir(spark, "results"), shared_dir(spark, "runs")
+    databases = Databases(spark, catalog)
     runs: list[tuple] = []
+    written = succeeded = 0
+
+    def tell(done: set[Future], least: int) -> None:
+        nonlocal written, succeeded
+        runs.extend(f.result() for f in done)
+        if len(runs) >= least:
+            spark.createDataFrame(runs, RUNS).write.parquet(f"{told}/{written:08d}")
+            written += 1
+            succeeded += sum(error is None for *_, error in runs)
+            runs.clear()
+
     waiting: set[Future] = set()
     with ThreadPoolExecutor(parallel) as pool:
         for number, statement in enumerate(statements):
             if len(waiting) >= parallel:
                 done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
-                runs += [f.result() for f in done]
-            waiting.add(pool.submit(_run, spark, statement, f"{folder}/{number:08d}", ndigits))
-        runs += [f.result() for f in waiting]
-    if any(error is None for *_, error in runs):
+                tell(done, BATCH)
+            waiting.add(pool.submit(_run, databases, statement, f"{folder}/{number:08d}", ndigits))
+        tell(wait(waiting).done, 0)
+    if succeeded:
         raw = spark.read.schema(R.RESULTS).option("recursiveFileLookup", "true").parquet(folder)
     else:
         raw = spark.createDataFrame([], R.RESULTS)
     keys = ["query_id", "side", "variant"]
     results = R.dense_index(raw, keys, F.col("row_idx")).select(*keys, "row_idx", "cells")
-    return results, spark.createDataFrame(runs, RUNS)
+    return results, spark.read.schema(RUNS).option("recursiveFileLookup", "true").parquet(told)
 
 
 def _statements(answered: DataFrame) -> Iterator[Statement]:
-    """Prediction and expected variants of every question with a prediction."""
+    """Prediction and expected variants of every question with a prediction, database by database."""
     runnable = answered.where("database_error IS NULL AND pd_sql <> ''")
     pred = runnable.select("id", F.lit("p").alias("side"), F.lit(0).alias("variant"), F.col("pd_sql").alias("sql"))
     gold = Q.gold_variants(runnable).select("id", F.lit("g").alias("side"), "variant", "sql")
-    for row in pred.unionByName(gold).orderBy("id", "side", "variant").toLocalIterator():
-        yield Statement(row["id"], row["side"], row["variant"], row["sql"])
+    nothing = F.lit(None).cast("string")
+    home = [F.col(c) if c in runnable.columns else nothing.alias(c) for c in ("benchmark", "database")]
+    listed = pred.unionByName(gold).join(runnable.select("id", *home), "id")
+    for row in listed.orderBy("benchmark", "database", "id", "side", "variant").toLocalIterator():
+        yield Statement(row["id"], row["side"], row["variant"], row["sql"], row["benchmark"], row["database"])
 
 
 def evaluate_submission(
@@ -100,19 +166,24 @@ def evaluate_submission(
     best: str = "exo",
     parallel: int = 8,
     cap: int | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """Outcome per question: success, ordered, the five metrics, pred_error and gt_error.
 
-    Statements name temporary views or tables of the session. ``report_rollup`` turns the outcomes
-    into the report.
+    Statements name the tables that ``catalog(benchmark, database, name, path)`` lists for the question's database; a question
+    whose database is not listed fails. Without a catalog they name temporary views or tables of the session.
+    Question ids are unique (``latest_by_id``). ``report_rollup`` turns the outcomes into the report.
     """
     chosen = questions if query_ids is None else Q.filter_ids(questions, query_ids)
     chosen = chosen if difficulty is None else Q.filter_difficulty(chosen, *difficulty)
     answered = Q.is_ordered(P.submission_join(chosen, submission), unordered)
+    if catalog is not None:
+        known = catalog.groupBy("benchmark", "database").agg(F.min("path").alias("path"))
+        answered = Q.resolve_database(answered.drop("path", "database_error"), known)
     if "database_error" not in answered.columns:
         answered = answered.withColumn("database_error", F.lit(None).cast("string"))
     answered = stage(answered, "answered")
-    results, runs = run_statements(spark, _statements(answered), ndigits, parallel)
+    results, runs = run_statements(spark, _statements(answered), ndigits, parallel, catalog)
     results = stage(results, "rows")
     scores = P.score_results(
         results, R.pair_list(results, runs.where("error IS NULL")), bf_beta=bf_beta, sf_beta=sf_beta, dedup=dedup, cap=cap

@@ -105,8 +105,10 @@ def test_row_cap_takes_the_soft_score(spark):
     p = [(i,) for i in range(1001)]
     g = [(i if i % 3 else -1,) for i in range(1001)]
     rows, pairs = results(spark, {"big": (p, [g]), "small": (p[:5], [g[:5]])}, ["int"])
-    scores = {r["query_id"]: r for r in P.score_results(rows, pairs).collect()}
+    scores = {r["query_id"]: r for r in P.score_results(rows, pairs, cap=B.ROW_CAP).collect()}
     assert scores["big"]["bfo"] == scores["big"]["bfu"] == pytest.approx(soft(p, g, 2.0))
+    whole = {r["query_id"]: r for r in P.score_results(rows, pairs).collect()}
+    assert whole["big"]["bfu"] == pytest.approx(667 / 1001)  # no switch unless it is asked for
     assert scores["small"]["bfu"] == pytest.approx(expected(p[:5], g[:5])[4])
     assert [r["query_id"] for r in P.large_result_flags(rows).collect()] == ["big", "big"]
 
