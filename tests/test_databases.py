@@ -31,7 +31,7 @@ def test_databases_may_share_table_names(spark, tmp_path, monkeypatch):
 def test_open_records_survive(spark, tmp_path):
     question = {
         "benchmark": "b", "database": "d", "id": "Q1", "question": "q", "dialect": "x", "sql": "SELECT 1", "sql.2": "SELECT 2", "sql.x": "no", "score": 5, "text5": "5", "none": None, "context/zone": [], "a~1b": 0,
-        "schema": {"t": ["a", {"b": 1.5}]}, "context": {"query_time": 202509, "zone": "UTC", "user_profile": {"occupation": "o", "la\"ng": ["de", 1], "region": {}, "department": {}, "preferences": []}},
+        "schema": {"t": ["a", {"b": 1.5}]}, "context": {"query_time": 202509, "zone": "UTC", "user_profile": {"occupation": "o", "caliber": None, "currency": None, "la\"ng": ["de", 1], "region": {}, "department": {}, "preferences": []}},
         "metadata": {"difficulty": "simple", "query_tags": [], "order-relevant": None, "verified": True, "by": {"who": "me"}},
     }
     rows = [question, {"id": "Q0", "schema": "plain text"}, {"id": "Q2"}]
