@@ -45,19 +45,29 @@ def total(df: DataFrame, keys: list[str], columns: tuple[str, ...] = ("amt",)) -
     return df.groupBy(*keys).agg(*[F.sum(c).cast(MONEY).alias(c) for c in columns])
 
 
-def spine(df: DataFrame, dims: list[str]) -> DataFrame:
-    """Every month of the data range for every member, gaps included."""
-    bounds = df.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    months = F.sequence(day(lo), day(hi), F.expr("interval 1 month"))
-    members = df.select(*dims).distinct() if dims else bounds.select()
-    return members.select(*dims, F.explode(months).alias("_day")).select(*dims, F.date_format("_day", "yyyyMM").alias("period"))
+Bounds = tuple[str, str] | None
 
 
-def dense(df: DataFrame, dims: list[str], columns: tuple[str, ...] = ("amt",)) -> DataFrame:
-    """Months without rows carry 0."""
-    filled = spine(df, dims).join(df, [*dims, "period"], "left")
-    return filled.select(*dims, "period", *[F.coalesce(c, F.lit(0).cast(MONEY)).alias(c) for c in columns])
+def _ends(df: DataFrame, bounds: Bounds) -> tuple[Column, Column]:
+    if bounds is not None:
+        return F.lit(bounds[0]), F.lit(bounds[1])
+    found = df.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    return found.select("lo").scalar(), found.select("hi").scalar()
+
+
+def dense(df: DataFrame, dims: list[str], columns: tuple[str, ...] = ("amt",), bounds: Bounds = None) -> DataFrame:
+    """Every month of the range for every member; months without rows carry 0. ``df`` has one row per month and member.
+
+    A member's months are gathered in one map, at most one entry per month of the range, and read off month by month: the frame
+    is worked out once and not joined with itself. Without ``bounds`` the range is asked of the frame, which works it out again.
+    """
+    lo, hi = _ends(df, bounds)
+    months = F.when(lo <= hi, F.sequence(day(lo), day(hi), F.expr("interval 1 month")))
+    entry = F.struct("period", F.struct(*columns).alias("held"))
+    held = df.groupBy(*dims).agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    spread = held.select(*dims, "_held", F.explode(months).alias("_day")).withColumn("period", F.date_format("_day", "yyyyMM"))
+    value = F.try_element_at("_held", F.col("period"))
+    return spread.select(*dims, "period", *[F.coalesce(value[c], F.lit(0).cast(MONEY)).cast(MONEY).alias(c) for c in columns])
 
 
 def with_ytd(df: DataFrame, dims: list[str], column: str = "amt", out: str = "ytd") -> DataFrame:
@@ -67,22 +77,36 @@ def with_ytd(df: DataFrame, dims: list[str], column: str = "amt", out: str = "yt
 
 
 def with_prior_year(df: DataFrame, dims: list[str], columns: tuple[str, ...]) -> DataFrame:
-    """The same columns one year earlier, as ``<name>_py``; null where that month is not there."""
-    before = df.select(*dims, shift(F.col("period"), 12).alias("period"), *[F.col(c).alias(f"{c}_py") for c in columns])
-    return df.join(before, [*dims, "period"], "left")
+    """The same columns one year earlier, as ``<name>_py``, on a dense frame; null before the range."""
+    order = Window.partitionBy(*dims).orderBy("period")
+    return df.select("*", *[F.lag(c, 12).over(order).alias(f"{c}_py") for c in columns])
+
+
+def with_last_year_total(df: DataFrame, dims: list[str], ytd: str = "ytd", out: str = "year_amt") -> DataFrame:
+    """The total of the year before: the year-to-date value of the last December before the month, on a dense frame."""
+    before = Window.partitionBy(*dims).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    december = F.when(month_of(F.col("period")) == 12, F.col(ytd))
+    return df.withColumn(out, F.last(december, ignorenulls=True).over(before))
+
+
+def with_year_before(df: DataFrame, dims: list[str], year: str, value: str, out: str) -> DataFrame:
+    """The value of the member one year earlier; null where that year has no row."""
+    order = Window.partitionBy(*dims).orderBy(year)
+    follows = F.lag(year).over(order).cast("int") == F.col(year).cast("int") - 1
+    return df.withColumn(out, F.when(follows, F.lag(value).over(order)))
 
 
-def quarterly(df: DataFrame, dims: list[str]) -> DataFrame:
+def quarterly(df: DataFrame, dims: list[str], bounds: Bounds = None) -> DataFrame:
     """Quarter amounts as differences of year-to-date values at quarter ends."""
-    ends = with_ytd(dense(df, dims), dims).where(month_of(F.col("period")).isin(3, 6, 9, 12))
+    ends = with_ytd(dense(df, dims, bounds=bounds), dims).where(month_of(F.col("period")).isin(3, 6, 9, 12))
     inside = Window.partitionBy(*dims, year_of(F.col("period"))).orderBy("period")
     before = F.coalesce(F.lag("ytd").over(inside), F.lit(0).cast(MONEY))
     return ends.select(*dims, quarter_of(F.col("period")).alias("quarter"), (F.col("ytd") - before).cast(MONEY).alias("amt"))
 
 
-def half_yearly(df: DataFrame, dims: list[str]) -> DataFrame:
+def half_yearly(df: DataFrame, dims: list[str], bounds: Bounds = None) -> DataFrame:
     """H1 = ytd of June, H2 = ytd of December less ytd of June."""
-    ytd = with_ytd(dense(df, dims), dims)
+    ytd = with_ytd(dense(df, dims, bounds=bounds), dims)
     year, month = year_of(F.col("period")), month_of(F.col("period"))
     june, december = (F.max(F.when(month == m, F.col("ytd"))) for m in (6, 12))
     wide = ytd.groupBy(*dims, year.alias("year")).agg(june.alias("june"), december.alias("december"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import finance as A
 from ledgerlens.plans.registry import Registry
-from ledgerlens.plans.star import FACT_SQL, MONEY, monthly, revenue
-from ledgerlens.session import shared_dir
+from ledgerlens.plans.star import FACT_SQL, MONEY, month_bounds, monthly, revenue
+from ledgerlens.session import shared_dir, stage
 from ledgerlens.sources.tables import table
 
 registry = Registry()
@@ -71,6 +71,15 @@ y AS (SELECT *, SUM(amt) OVER (PARTITION BY {dims}, period[1:4] ORDER BY period)
 _BEFORE = "strftime(strptime({p}, '%Y%m') - INTERVAL 1 YEAR, '%Y%m')"
 
 
+def dense(spark, folder, dims):
+    """Monthly revenue with all months of the fact table."""
+    return A.dense(revenue(spark, folder, dims), dims, bounds=month_bounds(spark, folder))
+
+
+def quarterly(spark, folder, dims):
+    return A.quarterly(revenue(spark, folder, dims), dims, month_bounds(spark, folder))
+
+
 # -- periods ---------------------------------------------------------------------------------
 
 
@@ -84,7 +93,7 @@ def ptd_monthly(spark, folder):
     grouped("c_custkey") + spine_sql("c_custkey") + "SELECT period, c_custkey, CAST(amt AS DOUBLE) AS amt, CAST(ytd AS DOUBLE) AS ytd FROM y",
 )
 def ytd_cumulative(spark, folder):
-    months = A.dense(revenue(spark, folder, ["c_custkey"]), ["c_custkey"])
+    months = dense(spark, folder, ["c_custkey"])
     return A.with_ytd(months, ["c_custkey"]).select("period", "c_custkey", *money("amt", "ytd"))
 
 
@@ -95,7 +104,7 @@ def ytd_cumulative(spark, folder):
 FROM y a LEFT JOIN y b ON a.p_name = b.p_name AND b.period = {_BEFORE.format(p='a.period')}""",
 )
 def prior_year(spark, folder):
-    ytd = A.with_ytd(A.dense(revenue(spark, folder, ["p_name"]), ["p_name"]), ["p_name"])
+    ytd = A.with_ytd(dense(spark, folder, ["p_name"]), ["p_name"])
     both = A.with_prior_year(ytd, ["p_name"], ("amt", "ytd"))
     return both.select("period", "p_name", *money("amt", "amt_py", "ytd", "ytd_py"))
 
@@ -107,7 +116,7 @@ def prior_year(spark, folder):
 FROM d GROUP BY ALL HAVING COUNT(*) = 3""",
 )
 def quarterly_from_ytd(spark, folder):
-    return A.quarterly(revenue(spark, folder, ["n_name"]), ["n_name"]).select("n_name", "quarter", *money("amt"))
+    return quarterly(spark, folder, ["n_name"]).select("n_name", "quarter", *money("amt"))
 
 
 @add(
@@ -117,7 +126,8 @@ def quarterly_from_ytd(spark, folder):
 CAST(CASE WHEN COUNT(*) = 12 THEN SUM(amt) FILTER (period[5:6] > '06') END AS DOUBLE) AS h2 FROM d GROUP BY ALL""",
 )
 def half_yearly(spark, folder):
-    return A.half_yearly(revenue(spark, folder, ["n_name"]), ["n_name"]).select("n_name", "year", *money("h1", "h2"))
+    halves = A.half_yearly(revenue(spark, folder, ["n_name"]), ["n_name"], month_bounds(spark, folder))
+    return halves.select("n_name", "year", *money("h1", "h2"))
 
 
 _ASKED = "strftime(o_orderdate + INTERVAL 18 MONTH, '%Y%m')"
@@ -144,7 +154,8 @@ def period_guard(spark, folder):
     FACT_SQL + "SELECT c_custkey, CAST(SUM(rev) AS DOUBLE) AS amt FROM fact WHERE period BETWEEN '199801' AND '199808' GROUP BY c_custkey",
 )
 def query_time_cutoff(spark, folder):
-    months = A.cutoff(revenue(spark, folder, ["c_custkey"]), "199801", "199812", "199808")
+    first, last, now = "199801", "199812", "199808"
+    months = A.cutoff(revenue(spark, folder, ["c_custkey"], [(first, min(last, now))]), first, last, now)
     return A.total(months, ["c_custkey"]).select("c_custkey", *money("amt"))
 
 
@@ -284,11 +295,8 @@ def budget_view(spark, folder):
     """Amount, forecast, budget and target per month. Budget: last year's total times 1.05, repeated
     each month. Target: last year's month times 1.05. Forecast: the year as run so far."""
     dims = ["p_type", "r_name"]
-    ytd = A.with_ytd(A.dense(revenue(spark, folder, dims), dims), dims)
-    yearly = ytd.groupBy(*dims, A.year_of(F.col("period")).cast("int").alias("year")).agg(F.sum("amt").alias("year_amt"))
-    last_year = yearly.select(*dims, (F.col("year") + 1).alias("year"), "year_amt")
-    both = A.with_prior_year(ytd, dims, ("amt",)).withColumn("year", A.year_of(F.col("period")).cast("int"))
-    return both.join(last_year, [*dims, "year"], "left").select(
+    ytd = A.with_last_year_total(A.with_ytd(dense(spark, folder, dims), dims), dims)
+    return A.with_prior_year(ytd, dims, ("amt",)).select(
         "period",
         *dims,
         "amt",
@@ -394,7 +402,7 @@ SELECT year, c_custkey, CAST(amt AS DOUBLE) AS amt, 'top' AS side, up AS place F
 UNION ALL SELECT year, c_custkey, CAST(amt AS DOUBLE), 'bottom', down FROM s WHERE down <= 5""",
 )
 def top_bottom_n(spark, folder):
-    out = A.top_bottom(yearly(spark, folder, "c_custkey"), ["year"], "amt", ["c_custkey"], 5)
+    out = A.top_bottom(stage(yearly(spark, folder, "c_custkey"), "yearly"), ["year"], "amt", ["c_custkey"], 5)
     return out.select("year", "c_custkey", *money("amt"), "side", "place")
 
 
@@ -403,7 +411,7 @@ def top_bottom_n(spark, folder):
     yearly_sql("c_custkey") + ", k AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY amt DESC) AS rank FROM t) SELECT year, CAST(amt AS DOUBLE) AS amt, rank FROM k WHERE c_custkey = 7",
 )
 def rank_members(spark, folder):
-    ranks = A.member_rank(yearly(spark, folder, "c_custkey"), ["year"], F.col("c_custkey") == 7, "amt")
+    ranks = A.member_rank(stage(yearly(spark, folder, "c_custkey"), "yearly"), ["year"], F.col("c_custkey") == 7, "amt")
     return ranks.select("year", *money("amt"), "rank")
 
 
@@ -424,7 +432,7 @@ def compare_members(spark, folder):
 SELECT c_custkey, year, CAST(amt AS DOUBLE) AS amt FROM t WHERE c_custkey IN (SELECT c_custkey FROM best)""",
 )
 def multi_hop(spark, folder):
-    years = yearly(spark, folder, "c_custkey")
+    years = stage(yearly(spark, folder, "c_custkey"), "yearly")
     best = A.total(years, ["c_custkey"]).orderBy(F.desc("amt"), "c_custkey").limit(5)
     return years.join(best, "c_custkey", "left_semi").select("c_custkey", "year", *money("amt"))
 
@@ -436,7 +444,7 @@ def multi_hop(spark, folder):
 )
 def time_trend(spark, folder):
     dims = ["p_name", "r_name"]
-    months = A.dense(revenue(spark, folder, dims), dims).where(F.col("period").between("199601", "199812"))
+    months = dense(spark, folder, dims).where(F.col("period").between("199601", "199812"))
     return months.orderBy(*dims, "period").select(*dims, "period", *money("amt"))
 
 
@@ -450,7 +458,7 @@ SELECT n_name, period, {r6(change('amt', 'one'), 'mom')}, {r6(change('amt', 'twe
   CASE WHEN period[5:6] IN ('03', '06', '09', '12') THEN round({change('three', 'three_before')}, 6) END AS qoq FROM h""",
 )
 def growth_rates(spark, folder):
-    months = A.dense(revenue(spark, folder, ["n_name"]), ["n_name"])
+    months = dense(spark, folder, ["n_name"])
     order = Window.partitionBy("n_name").orderBy("period")
     quarter = months.withColumn("three", F.sum("amt").over(order.rowsBetween(-2, 0)))
     ends = A.month_of(F.col("period")).isin(3, 6, 9, 12)
@@ -475,13 +483,13 @@ SELECT member, is_total, CAST(amt AS DOUBLE) AS amt, CAST(amt_py AS DOUBLE) AS a
 ORDER BY is_total, yoy DESC NULLS LAST, member""",
 )
 def breakdown(spark, folder):
-    years = yearly(spark, folder, "c_custkey").where(F.col("year").isin("1999", "2000"))
+    years = revenue(spark, folder, ["c_custkey"], [("199901", "200012")]).withColumn("year", A.year_of(F.col("period")))
     zero = F.lit(0).cast(MONEY)
     wide = years.groupBy(F.col("c_custkey").cast("string").alias("member")).agg(
         F.sum(F.when(F.col("year") == "2000", F.col("amt")).otherwise(zero)).alias("amt"),
         F.sum(F.when(F.col("year") == "1999", F.col("amt")).otherwise(zero)).alias("amt_py"),
     )
-    out = A.breakdown(wide, "member")
+    out = A.breakdown(stage(wide, "members"), "member")
     return out.select("member", "is_total", "amt", "amt_py", *six("share", "yoy"))
 
 
@@ -551,10 +559,11 @@ def budget_completion(spark, folder):
 FROM plan a JOIN plan e ON a.p_type = e.p_type AND a.r_name = e.r_name AND e.period = a.period[1:4] || '12'""",
 )
 def forecast_accuracy(spark, folder):
-    plan = budget_view(spark, folder).withColumn("year", A.year_of(F.col("period")))
-    actual = plan.where(A.month_of(F.col("period")) == 12).select("p_type", "r_name", "year", F.col("ytd").cast("double").alias("actual"))
+    whole_year = Window.partitionBy("p_type", "r_name", A.year_of(F.col("period")))
+    december = F.max(F.when(A.month_of(F.col("period")) == 12, F.col("ytd"))).over(whole_year).cast("double")
+    plan = budget_view(spark, folder).withColumn("actual", december).where("actual IS NOT NULL")
     accuracy = 1 - A.divide(F.abs(F.col("forecast") - F.col("actual")), F.col("actual"))
-    return plan.join(actual, ["p_type", "r_name", "year"]).select("p_type", "r_name", "period", F.round(accuracy, 6).alias("accuracy"))
+    return plan.select("p_type", "r_name", "period", F.round(accuracy, 6).alias("accuracy"))
 
 
 @add(
@@ -572,11 +581,11 @@ def target_attainment(spark, folder):
     yearly_sql("c_custkey") + f"SELECT a.c_custkey, round(pow({ratio('b.amt', 'a.amt')}, 1.0 / 3) - 1, 6) AS cagr FROM t a JOIN t b ON a.c_custkey = b.c_custkey AND a.year = '1996' AND b.year = '1999'",
 )
 def cagr(spark, folder):
-    years = yearly(spark, folder, "c_custkey")
-    first = years.where("year = '1996'").select("c_custkey", F.col("amt").alias("first"))
-    last = years.where("year = '1999'").select("c_custkey", F.col("amt").alias("last"))
+    months = revenue(spark, folder, ["c_custkey"], [("199601", "199612"), ("199901", "199912")])
+    of = lambda year: F.sum(F.when(A.year_of(F.col("period")) == year, F.col("amt")))
+    both = months.groupBy("c_custkey").agg(of("1996").alias("first"), of("1999").alias("last"))
     rate = F.pow(A.divide(F.col("last"), F.col("first")), F.lit(1.0 / 3)) - 1
-    return first.join(last, "c_custkey").select("c_custkey", F.round(rate, 6).alias("cagr"))
+    return both.where("first IS NOT NULL AND last IS NOT NULL").select("c_custkey", F.round(rate, 6).alias("cagr"))
 
 
 # -- concentration and decomposition ---------------------------------------------------------
@@ -597,7 +606,7 @@ def hhi(spark, folder):
 SELECT year, round(SUM(share * share) * 10000, 6) AS hhi FROM s WHERE place <= 10 GROUP BY year""",
 )
 def hhi_top_n(spark, folder):
-    out = A.hhi_top(yearly(spark, folder, "c_custkey"), ["year"], 10, ["c_custkey"])
+    out = A.hhi_top(stage(yearly(spark, folder, "c_custkey"), "yearly"), ["year"], 10, ["c_custkey"])
     return out.select("year", F.round(F.col("hhi") * 10000, 6).alias("hhi"))
 
 
@@ -611,15 +620,17 @@ f AS (SELECT r_name, n_name, ({ratio('rev', 'tr')} - {ratio('rev_py', 'trp')}) *
 SELECT r_name, n_name, {r6('structure', 'structure')}, {r6('margin', 'margin')}, {r6('structure + margin', 'compound')} FROM f ORDER BY r_name, compound DESC""",
 )
 def double_factor(spark, folder):
-    months = monthly(spark, folder, ["r_name", "n_name"], cost=True).withColumn("year", A.year_of(F.col("period")))
-    sums = A.total(
-        months.withColumn("rev", F.col("rev_eq") + F.col("rev_sv")).withColumn("cost", F.col("cost_eq") + F.col("cost_sv") + F.col("tax")),
-        ["r_name", "n_name", "year"],
-        ("rev", "cost"),
+    months = monthly(spark, folder, ["r_name", "n_name"], cost=True, spans=[("199901", "200012")]).select(
+        "r_name",
+        "n_name",
+        A.year_of(F.col("period")).alias("year"),
+        (F.col("rev_eq") + F.col("rev_sv")).alias("rev"),
+        (F.col("cost_eq") + F.col("cost_sv") + F.col("tax")).alias("cost"),
     )
-    now = sums.where("year = '2000'").select("r_name", "n_name", "rev", "cost")
-    before = sums.where("year = '1999'").select("n_name", F.col("rev").alias("rev_py"), F.col("cost").alias("cost_py"))
-    out = A.double_factor(now.join(before, "n_name"), ["r_name"], "n_name")
+    of = lambda name, year: F.sum(F.when(F.col("year") == year, F.col(name))).cast(MONEY)
+    sums = [of(name, year).alias(f"{name}{end}") for name in ("rev", "cost") for year, end in (("2000", ""), ("1999", "_py"))]
+    both = months.groupBy("r_name", "n_name").agg(*sums).where("rev IS NOT NULL AND rev_py IS NOT NULL")
+    out = A.double_factor(stage(both, "years"), ["r_name"], "n_name")
     return out.select("r_name", "n_name", *six("structure", "margin", "compound"))
 
 
@@ -634,7 +645,7 @@ SELECT n_name, quarter, round(CASE WHEN COUNT(*) OVER c = 3 THEN CAST(SUM(amt) O
 FROM q WINDOW c AS (PARTITION BY n_name ORDER BY quarter ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), t AS (PARTITION BY n_name ORDER BY quarter ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_3q(spark, folder):
-    quarters = A.quarterly(revenue(spark, folder, ["n_name"]), ["n_name"])
+    quarters = quarterly(spark, folder, ["n_name"])
     return quarters.select(
         "n_name",
         "quarter",
@@ -649,7 +660,7 @@ def rolling_3q(spark, folder):
 SELECT n_name, period, CAST(amt AS DOUBLE) AS amt, CASE WHEN move * lag(move) OVER (PARTITION BY n_name ORDER BY period) < 0 THEN 'Y' ELSE 'N' END AS inflection FROM s""",
 )
 def inflection_points(spark, folder):
-    months = A.dense(revenue(spark, folder, ["n_name"]), ["n_name"])
+    months = dense(spark, folder, ["n_name"])
     return A.with_inflection(months, ["n_name"]).select("n_name", "period", *money("amt"), "inflection")
 
 
@@ -661,14 +672,13 @@ s AS (SELECT *, MIN(qoq) OVER w AS low, COUNT(qoq) OVER w AS n FROM g WINDOW w A
 SELECT p_name, quarter, CAST(amt AS DOUBLE) AS amt, round(qoq, 6) AS qoq FROM s WHERE n = 3 AND low > 0.1""",
 )
 def star_products(spark, folder):
-    quarters = A.quarterly(revenue(spark, folder, ["p_name"]), ["p_name"])
+    quarters = quarterly(spark, folder, ["p_name"])
     return A.stars(quarters, ["p_name"]).select("p_name", "quarter", *money("amt"), *six("qoq"))
 
 
 def _yoy(spark, folder, member):
-    years = yearly(spark, folder, member)
-    before = years.select(member, (F.col("year").cast("int") + 1).cast("string").alias("year"), F.col("amt").alias("before"))
-    return years.join(before, [member, "year"]).withColumn("growth", A.growth(F.col("amt"), F.col("before")))
+    years = A.with_year_before(yearly(spark, folder, member), [member], "year", "amt", "before")
+    return years.where("before IS NOT NULL").withColumn("growth", A.growth(F.col("amt"), F.col("before")))
 
 
 def _yoy_sql(member: str) -> str:

@@ -9,7 +9,7 @@ the order in which partitions are merged, so a retried task changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.sources.tables import table
@@ -20,8 +20,25 @@ CUSTOMER = ("c_mktsegment", "c_custkey")
 REGION = ("r_name", "n_name")
 
 
-def monthly(spark: SparkSession, folder: str, dims: list[str], cost: bool = False) -> DataFrame:
-    """period, dims, rev_eq and rev_sv; with ``cost`` also cost_eq, cost_sv and tax."""
+def month_bounds(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """First and last month of the fact table, from its date column alone; no months where the table is empty."""
+    dates = table(spark, folder, "lineitem").agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
+    found = dates.select(F.date_format("lo", "yyyyMM"), F.date_format("hi", "yyyyMM")).first()
+    return (found[0], found[1]) if found[0] else ("000102", "000101")
+
+
+def in_months(date: Column, spans: list[tuple[str, str]]) -> Column:
+    """Dates in one of the spans of months (first and last included), as comparisons with literals that a scan can use."""
+    out = F.lit(False)
+    for first, last in spans:
+        after = f"{int(last[:4]) + int(last[4:]) // 12}-{int(last[4:]) % 12 + 1:02d}-01"
+        here = (date >= F.lit(f"{first[:4]}-{first[4:]}-01").cast("timestamp")) & (date < F.lit(after).cast("timestamp"))
+        out = here if len(spans) == 1 else out | here
+    return out
+
+
+def monthly(spark: SparkSession, folder: str, dims: list[str], cost: bool = False, spans: list[tuple[str, str]] | None = None) -> DataFrame:
+    """period, dims, rev_eq and rev_sv; with ``cost`` also cost_eq, cost_sv and tax. ``spans`` of months limit the lines that are read."""
     product = [d for d in dims if d in PRODUCT]
     customer = [d for d in dims if d in CUSTOMER]
     region = [d for d in dims if d in REGION]
@@ -31,7 +48,10 @@ def monthly(spark: SparkSession, folder: str, dims: list[str], cost: bool = Fals
     values.append((1 - F.col("l_discount")).cast("decimal(3,2)").alias("kept"))
     if cost:
         values += [F.col("l_quantity").cast("decimal(6,2)").alias("quantity"), F.col("l_tax").cast("decimal(3,2)").alias("rate")]
-    out = table(spark, folder, "lineitem").select(*ids, F.date_format("l_shipdate", "yyyyMM").alias("period"), *values)
+    lines = table(spark, folder, "lineitem")
+    if spans is not None:
+        lines = lines.where(in_months(F.col("l_shipdate"), spans))
+    out = lines.select(*ids, F.date_format("l_shipdate", "yyyyMM").alias("period"), *values)
     if by_part:
         unit = [F.col("p_retailprice").cast("decimal(10,2)").alias("unit")] if cost else []
         parts = table(spark, folder, "part").select("p_partkey", *product, *unit)
@@ -68,9 +88,9 @@ def monthly(spark: SparkSession, folder: str, dims: list[str], cost: bool = Fals
     return out.groupBy("period", *dims).agg(*sums)
 
 
-def revenue(spark: SparkSession, folder: str, dims: list[str]) -> DataFrame:
+def revenue(spark: SparkSession, folder: str, dims: list[str], spans: list[tuple[str, str]] | None = None) -> DataFrame:
     """period, dims, amt = equipment and service revenue."""
-    return monthly(spark, folder, dims).select("period", *dims, (F.col("rev_eq") + F.col("rev_sv")).cast(MONEY).alias("amt"))
+    return monthly(spark, folder, dims, spans=spans).select("period", *dims, (F.col("rev_eq") + F.col("rev_sv")).cast(MONEY).alias("amt"))
 
 
 FACT_SQL = """

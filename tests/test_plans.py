@@ -49,3 +49,28 @@ def test_python_runs_only_in_alignments(spark):
         text = plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
         assert "MapInArrow" not in text and "ArrowEvalPython" not in text
     assert "MapInArrow" in plan(QUERIES["align_unordered"](spark, f"{DATA}/sf0.001"))
+
+
+ONE_SCAN = [
+    "ytd_cumulative", "prior_year", "quarterly_from_ytd", "half_yearly", "query_time_cutoff", "view_budget_forecast", "budget_completion", "forecast_accuracy", "target_attainment",
+    "time_trend", "growth_rates", "rolling_3q", "inflection_points", "star_products", "cagr", "growth_volatility", "decline_only",
+]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_the_fact_table_is_scanned_once(spark, name):
+    text = plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
+    assert text.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name, first", [("query_time_cutoff", "1998-01-01"), ("cagr", "1996-01-01")])
+def test_months_are_pushed_to_the_scan(spark, name, first):
+    text = plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line and "l_shipdate" in line)
+    assert f"GreaterThanOrEqual(l_shipdate,{first}" in pushed and "LessThan(l_shipdate," in pushed
+
+
+def test_two_years_are_summed_before_they_are_read_twice(spark):
+    """The members' sums are staged: what is left of the plan reads no fact table."""
+    for name in ("double_factor", "breakdown", "top_bottom_n", "rank_members", "multi_hop", "hhi_top_n"):
+        assert "lineitem.parquet" not in plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
