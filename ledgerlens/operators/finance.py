@@ -9,10 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import stage
+
 MONEY = "decimal(28,4)"
 MESSAGE = "Date out of range"
 
 
+def expand_groups(bridge: DataFrame) -> DataFrame:
+    """``bridge(grp, member)`` to (grp, member) with members of members in place of groups; a member of two groups is in both.
+
+    Each round puts the members of a group in its place, so their number is the depth of the nesting. A group that holds itself adds nothing new.
+    """
+    known = stage(bridge.select("grp", "member").distinct(), "groups")
+    groups = known.select(F.col("grp").alias("member")).distinct()
+    inner = known.select(F.col("grp").alias("member"), F.col("member").alias("below"))
+    count = known.count()
+    while True:
+        more = known.join(inner, "member").select("grp", F.col("below").alias("member"))
+        known = stage(known.unionByName(more).distinct(), "groups")
+        before, count = count, known.count()
+        if count == before:
+            return known.join(groups, "member", "left_anti").select("grp", "member")
+
+
 def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import sqltext as S
-from ledgerlens.operators.rows import dense_index
+from ledgerlens.operators.rows import dense_index, rank_index
 
 SAMPLE_SEED = 42
 
@@ -250,7 +250,7 @@ def unify_kaggle(raw: DataFrame, databases: list[str]) -> DataFrame:
     """
     places = F.array(*[F.lit(d) for d in databases])
     known = raw.withColumn("_db", F.array_position(places, F.col("db_id"))).where("_db > 0")
-    test = dense_index(known.where("split = 'test'"), [], F.shiftleft("_db", 40) + F.col("pos"), out="_number")
+    test = rank_index(known.where("split = 'test'"), [F.col("_db"), F.col("pos")], out="_number")
     shots = dense_index(known.where("split = 'fewshot'"), ["db_id"], F.col("pos"), out="_number")
 
     def unified(df: DataFrame, prefix: str) -> DataFrame:

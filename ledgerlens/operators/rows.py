@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import cells as C
+from ledgerlens.session import stage
 
 RESULTS = f"query_id string, side string, variant int, row_idx bigint, cells array<{C.CELL}>"
 CHUNK_BITS = 16
@@ -47,6 +48,26 @@ def dense_index(
     return joined.select(*kept, (F.col("o._before") + F.col("n._place")).cast("bigint").alias(out))
 
 
+def rank_index(df: DataFrame, order: list[Column], out: str = "row_idx") -> DataFrame:
+    """Number all rows 0, 1, 2, … by any order, without a window over all of them.
+
+    Rows are dealt to ranges of the order and sorted there; each knows its place in its range. Only the sizes of the ranges,
+    one number per partition, meet on the driver. The dealt rows are staged, so that a retried task numbers them alike.
+    """
+    names = [f"_order{i}" for i in range(len(order))]
+    ordered = df.select("*", *[c.alias(n) for c, n in zip(order, names)]).repartitionByRange(*names).sortWithinPartitions(*names)
+    dealt = stage(ordered.drop(*names).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftrightunsigned("_id", 33)
+    before, offsets = 0, []
+    for row in sorted(dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((row["part"], before))
+        before += row["n"]
+    starts = df.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
+    placed = dealt.join(F.broadcast(starts), part == F.col("_part"))
+    kept = [F.col(c) for c in df.columns if c != out]
+    return placed.select(*kept, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(out))
+
+
 def norm_cells(df: DataFrame, columns: list[str], ndigits: int = 3) -> DataFrame:
     """Turn value columns into cells. The frame must carry query_id, side, variant and row_idx."""
     identity = F.concat_ws(":", "query_id", "side", "variant", "row_idx")

@@ -196,11 +196,21 @@ def soft_fbeta(spark, folder):
 # -- bipartite F-beta ------------------------------------------------------------------------
 
 
+def _marks_sql(a: str, b: str, c: str) -> str:
+    return f"[{a} || '#1', {b} || '#' || (1 + CAST({a} = {b} AS INTEGER)), {c} || '#' || (1 + CAST({a} = {c} AS INTEGER) + CAST({b} = {c} AS INTEGER))]"
+
+
+# The rows of PARTS side by side, without what only the other metrics need.
+_SIDE_BY_SIDE_SQL = X.PARTS_SQL[: X.PARTS_SQL.index("both_sides AS")] + f"""met AS (
+  SELECT query_id, row_idx, {X.number_sql('p.a')} AS pa, {X.number_sql('p.b')} AS pb, {X.number_sql('p.c')} AS pc, {X.number_sql('g.a')} AS ga, {X.number_sql('g.b')} AS gb, {X.number_sql('g.c')} AS gc
+  FROM pred_rows p JOIN gold_rows g USING (query_id, row_idx))
+"""
+
+
 @add(
     "row_fbeta",
-    X.PARTS_SQL
-    + """SELECT query_id, row_idx, round(5.0 * len(list_intersect(p.marks, g.marks)) / 15.0, 6) AS weight
-FROM pred p JOIN gold g USING (query_id, row_idx)""",
+    _SIDE_BY_SIDE_SQL
+    + f"SELECT query_id, row_idx, round(5.0 * len(list_intersect({_marks_sql('pa', 'pb', 'pc')}, {_marks_sql('ga', 'gb', 'gc')})) / 15.0, 6) AS weight FROM met",
 )
 def row_fbeta(spark, folder):
     results = X.stored_parts(spark, folder)

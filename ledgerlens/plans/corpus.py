@@ -299,6 +299,14 @@ def partition_questions(spark, folder):
     return J.read_questions(spark, f"{path}/database=src3").select("id", "dialect")
 
 
+@add("partitioned_corpus", Q_SQL + "SELECT id, dialect, database, md5(question) AS question FROM q")
+def partitioned_corpus(spark, folder):
+    """All folders of a corpus that was written by database."""
+    path = shared_dir(spark, "questions")
+    J.partition_questions(questions(spark, folder), path)
+    return J.read_questions(spark, path).select("id", "dialect", "database", F.md5("question").alias("question"))
+
+
 @add(
     "open_questions",
     Q_SQL + """SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, 202400 + doc_id % 12 AS query_time, CASE WHEN doc_id % 2 = 0 THEN '{"tables":["' || dialect || '"]}' END AS schema,
@@ -347,6 +355,50 @@ def write_report(spark, folder):
     return spark.read.schema("level string, n bigint, c bigint").json(f"{path}/report")
 
 
+@add(
+    "report_with_results",
+    Q_SQL + """, r AS (SELECT id, coalesce(difficulty, 'unknown') AS level, coalesce(verified, false) AS success FROM q)
+SELECT id, level, success, n, c FROM r JOIN (SELECT level, COUNT(*) AS n, COUNT(*) FILTER (success) AS c FROM r GROUP BY level) USING (level)""",
+)
+def report_with_results(spark, folder):
+    """Both parts of a written report: every question's result beside the line of its level."""
+    path = shared_dir(spark, "report")
+    scores = questions(spark, folder).select("id", F.coalesce("difficulty", F.lit("unknown")).alias("level"), F.coalesce("verified", F.lit(False)).alias("success"))
+    J.write_report(scores, scores.groupBy("level").agg(F.count("*").alias("n"), F.count_if("success").alias("c")), path)
+    results = spark.read.schema("id string, level string, success boolean").json(f"{path}/results")
+    return results.join(spark.read.schema("level string, n bigint, c bigint").json(f"{path}/report"), "level").select("id", "level", "success", "n", "c")
+
+
+# The columns of the tables.
+COLUMNS = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+@add(
+    "scan_columns",
+    " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS column_name, COUNT(*) AS n, COUNT({c}) AS filled, SUM(CAST(length(CAST({c} AS VARCHAR)) > 0 AS BIGINT)) AS written FROM {t}" for t, cs in COLUMNS.items() for c in cs),
+)
+def scan_columns(spark, folder):
+    """Every column of the tables is read: rows, values that are there, and values that are not empty as text. One pass per table."""
+    out = None
+    for name, columns in COLUMNS.items():
+        facts = [
+            F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), F.count(c).alias("filled"), F.sum((F.length(F.col(c).cast("string")) > 0).cast("bigint")).alias("written"))
+            for c in columns
+        ]
+        one = table(spark, folder, name).agg(F.array(*facts).alias("f")).select(F.lit(name).alias("name"), F.explode("f").alias("f")).select("name", "f.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @add("scan_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, COUNT(*) AS n FROM {name}" for name in TABLES))
 def scan_tables(spark, folder):
     out = None

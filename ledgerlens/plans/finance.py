@@ -368,6 +368,18 @@ def division_tables(spark, folder):
     return spark.read.parquet(path).where(F.col("p_type") == "PROMO").select("period", "n_name", *money("amt"))
 
 
+@add(
+    "all_division_tables",
+    FACT_SQL + "SELECT p_type, period, n_name, CAST(SUM(rev) AS DOUBLE) AS amt FROM fact GROUP BY ALL",
+)
+def all_division_tables(spark, folder):
+    """The folders of all divisions, with their key."""
+    path = shared_dir(spark, "income")
+    revenue(spark, folder, ["p_type", "n_name"]).write.partitionBy("p_type").parquet(path)
+    kept = spark.read.schema("period string, n_name string, amt decimal(28,4), p_type string").parquet(path)
+    return kept.select("p_type", "period", "n_name", *money("amt"))
+
+
 # -- members ---------------------------------------------------------------------------------
 
 
@@ -708,11 +720,6 @@ def region_group_filter(spark, folder):
     return A.total(revenue(spark, folder, ["n_name"]).join(groups, "n_name"), ["grp", "period"]).select("grp", "period", *money("amt"))
 
 
-def group_members(spark, names: dict[str, tuple[str, ...]] = REGION_GROUPS):
-    """The named groups as rows (grp, member), to be joined with a region column."""
-    return spark.createDataFrame([(g, m) for g, members in names.items() for m in members], "grp string, member string")
-
-
 @add(
     "fact_lookup",
     """SELECT DISTINCT o_custkey || '-' || strftime(o_orderdate, '%Y') AS contract, l_orderkey AS project FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -727,3 +734,23 @@ def fact_lookup(spark, folder):
     return projects.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         contract.alias("contract"), F.col("l_orderkey").alias("project")
     )
+
+
+# Groups of groups, and the nations of the test data that stand for the names: the k-th name is nation k, counted around.
+NESTED_GROUPS = {"G7 and BRICS": ("G7", "BRICS"), "Three Groups": ("G7 and BRICS", "Arab", "Egypt")}
+_NAMES = sorted({name for names in REGION_GROUPS.values() for name in names})
+BRIDGE = [(g, m) for g, names in REGION_GROUPS.items() for m in (f"NATION_{_NAMES.index(n) % 25}" for n in names)]
+BRIDGE += [(g, m if m in REGION_GROUPS or m in NESTED_GROUPS else f"NATION_{_NAMES.index(m) % 25}") for g, names in NESTED_GROUPS.items() for m in names]
+
+
+@add(
+    "region_groups",
+    FACT_SQL.replace("WITH fact", "WITH RECURSIVE fact", 1) + f""", bridge(grp, member) AS (VALUES {', '.join(f"('{g}', '{m}')" for g, m in BRIDGE)}),
+deep AS (SELECT grp, member FROM bridge UNION SELECT d.grp, b.member FROM deep d JOIN bridge b ON b.grp = d.member),
+members AS (SELECT DISTINCT grp, member AS n_name FROM deep WHERE member NOT IN (SELECT grp FROM bridge))
+SELECT grp, period, CAST(SUM(rev) AS DOUBLE) AS amt FROM fact JOIN members USING (n_name) GROUP BY grp, period""",
+)
+def region_groups(spark, folder):
+    """All named groups and groups of groups; a nation counts once in each group that holds it."""
+    members = A.expand_groups(spark.createDataFrame(BRIDGE, "grp string, member string")).withColumnRenamed("member", "n_name")
+    return A.total(revenue(spark, folder, ["n_name"]).join(members, "n_name"), ["grp", "period"]).select("grp", "period", *money("amt"))

@@ -44,3 +44,21 @@ def test_spans_of_months(spark):
         assert got == {f"{d:%Y%m}" for d in days if any(a <= f"{d:%Y%m}" <= b for a, b in spans)}
         n = frame.where(in_months(F.col("d"), spans)).count()
         assert n == sum(any(a <= f"{d:%Y%m}" <= b for a, b in spans) for d in days)
+
+
+def test_groups_of_groups(spark):
+    bridge = [("a", "1"), ("a", "b"), ("b", "2"), ("b", "c"), ("c", "3"), ("c", "a"), ("d", "3"), ("d", "d"), ("e", "1"), ("e", "1")]
+    got = A.expand_groups(spark.createDataFrame(bridge, "grp string, member string")).collect()
+    assert sorted(map(tuple, got)) == [(g, m) for g in "abc" for m in "123"] + [("d", "3"), ("e", "1")]
+    assert A.expand_groups(spark.createDataFrame([], "grp string, member string")).count() == 0
+
+
+def test_numbers_by_rank(spark):
+    from ledgerlens.operators.rows import rank_index
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice([1, 2, 3]), rnd.randrange(2**50), i) for i in range(3000)]
+    got = rank_index(spark.createDataFrame(rows, "a int, b bigint, i int").repartition(7), [F.col("a"), F.col("b"), F.col("i")]).collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["row_idx"])] == [i for _, _, i in sorted(rows)]
+    assert sorted(r["row_idx"] for r in got) == list(range(3000))
+    assert rank_index(spark.createDataFrame([], "a int"), [F.col("a")]).count() == 0
