@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import cells as C
 from ledgerlens.operators import bipartite as B
+from ledgerlens.operators import edges as D
 from ledgerlens.operators import exact as E
 from ledgerlens.operators import report as P
 from ledgerlens.operators import rows as R
@@ -236,6 +237,20 @@ def pair_weights(spark, folder):
     )
 
 
+@add(
+    "row_weights",
+    X.PARTS_SQL
+    + """, w AS (SELECT query_id, p.row_idx, len(list_intersect(p.marks, g.marks)) AS c FROM pred p JOIN gold g USING (query_id))
+SELECT query_id, row_idx, COUNT(*) FILTER (c > 0) AS partners, round(MAX(c) / 3.0, 6) AS best, round(SUM(c) / 3.0, 6) AS total
+FROM w GROUP BY query_id, row_idx""",
+)
+def row_weights(spark, folder):
+    """The same sums from sparse edges: no matrix, and marks that many rows hold are counted by classes of rows."""
+    results = X.stored_parts(spark, folder)
+    weights = D.row_weights(R.pair_sides(results, R.pair_list(results)), heavy=64)
+    return weights.select("query_id", "row_idx", "partners", F.round("best", 6).alias("best"), F.round("total", 6).alias("total"))
+
+
 # The recurrence row by row: each step takes the running maximum of the line above and the line
 # above moved by one plus the weights.
 _ORDERED_SQL = (
