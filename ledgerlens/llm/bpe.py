@@ -22,12 +22,11 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -205,14 +204,17 @@ def _cut(pattern: str, shards: int):
             order = np.argsort(-count, kind="stable")
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            words = [w.encode("utf-8") for w in coded.dictionary.to_pylist()]
-            asked = sorted((zlib.crc32(w) % shards, w, i) for i, w in enumerate(words))
-            numbers = rank[np.fromiter((i for _, _, i in asked), dtype=np.int64, count=len(asked))]
-            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), pack(numbers), None)
-            for shard, group in groupby(asked, key=itemgetter(0)):
-                own = [w for _, w, _ in group]
-                lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-                yield batch_of(shard, None, None, None, None, pack(lengths, np.frombuffer(b"".join(own), dtype=np.uint8)))
+            words = coded.dictionary.cast(pa.large_binary())
+            shard = np.fromiter((zlib.crc32(w) % shards for w in words.to_pylist()), dtype=np.int64, count=len(words))
+            asked = pc.sort_indices(words).to_numpy().astype(np.int64)
+            asked = asked[np.argsort(shard[asked], kind="stable")]  # by shard, then by word
+            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), pack(rank[asked]), None)
+            words, shard = words.take(pa.array(asked)), shard[asked]
+            edge = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+            letters = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)]):
+                yield batch_of(int(shard[low]), None, None, None, None, pack(np.diff(edge[low : high + 1]), letters[edge[low] : edge[high]]))
 
         def batch_of(*values) -> pa.RecordBatch:
             kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
