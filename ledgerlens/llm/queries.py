@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, chat_format, embedding_dedup, fill_in_middle, line_dedup, packing, pii, quality_classifier, quality_rules, runs, secret_scan, simhash, toxicity
 from ledgerlens.llm.frames import documents
@@ -58,9 +59,55 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@registry.add("op5_chat_formatting")
+@registry.add(
+    "op5_chat_formatting",
+    """
+    SELECT conv_id, turn AS at_turn, -1 AS at_call, 0 AS step, turn, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS status, '[]' AS errors,
+           '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
+    FROM conversations
+    """,
+)
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    """The SQL holds while the given table has plain messages only, which a test checks."""
+    return _chat_digest(chat_format.format_chats(table(spark, sf_dir, "conversations")))
+
+
+@registry.add(
+    "chat_tool_dialogues",
+    """
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS chars, len(string_split(coalesce(text, ''), ' ')) AS words FROM conversations
+    ), calls AS (
+        SELECT *, CASE WHEN chars < 100 THEN 'short' WHEN chars < 600 THEN 'long' ELSE 'huge' END AS size FROM t WHERE role = 'assistant'
+    ), spoken AS (
+        SELECT conv_id, turn * 3 AS at_turn, -2 AS at_call, 0 AS step, turn * 3 AS turn, 'tool_definition' AS kind, NULL AS call_id, 'defined' AS status, '[]' AS errors,
+               '{"definition":{"name":"measure","parameters":{"additionalProperties":false,"properties":{"chars":{"maximum":400,"type":["integer","null"]},"size":{"enum":["short","long"]},"words":{"items":{"properties":{"n":{"minimum":20,"type":"integer"}}},"type":"array"}},"required":["chars","size"]}},"type":"tool_definition"}' AS json
+        FROM t WHERE turn = 0
+        UNION ALL
+        SELECT conv_id, turn * 3, -1, 0, turn * 3, 'message', NULL, NULL, '[]', '{"content":null,"role":"system"}' FROM t WHERE turn = 0
+        UNION ALL
+        SELECT conv_id, turn * 3 + 1, -1, 0, turn * 3 + 1, 'message', NULL, NULL, '[]', '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' FROM t
+        UNION ALL
+        SELECT c.conv_id, c.turn * 3 + 1, 0, 1, c.turn * 3 + 1, 'tool_call', 'c' || c.turn, CASE WHEN u.turn IS NULL THEN 'open' ELSE 'linked' END,
+               '[' || concat_ws(',', CASE WHEN size = 'huge' THEN '"enum size"' END, CASE WHEN c.chars > 400 THEN '"maximum chars"' END, CASE WHEN c.words < 20 THEN '"minimum words[0].n"' END) || ']',
+               '{"arguments":{"chars":' || c.chars || ',"size":"' || size || '","words":[{"n":' || c.words || '}]},"id":"c' || c.turn || '","name":"measure","type":"tool_call"}'
+        FROM calls c LEFT JOIN (SELECT DISTINCT conv_id, turn FROM t WHERE role = 'user') u ON u.conv_id = c.conv_id AND u.turn = c.turn + 1
+        UNION ALL
+        SELECT u.conv_id, CASE WHEN c.turn IS NULL THEN u.turn * 3 + 2 ELSE c.turn * 3 + 1 END, CASE WHEN c.turn IS NULL THEN -1 ELSE 0 END, 2, u.turn * 3 + 2, 'tool_result',
+               'c' || (u.turn - 1), CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END, '[]',
+               '{"content":{"chars":' || u.chars || '},"tool_call_id":"c' || (u.turn - 1) || '","type":"tool_result"}'
+        FROM t u LEFT JOIN (SELECT DISTINCT conv_id, turn FROM calls) c ON c.conv_id = u.conv_id AND c.turn = u.turn - 1 WHERE u.role = 'user'
+    )
+    SELECT * FROM spoken
+    """,
+)
+def chat_tool_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table as a dialogue with a tool, so that definitions, calls and results meet."""
+    return _chat_digest(chat_format.format_chats(chat_format.tool_dialogues(table(spark, sf_dir, "conversations"))))
+
+
+def _chat_digest(records: DataFrame) -> DataFrame:
+    return records.withColumn("errors", F.to_json("errors"))
 
 
 @registry.add(
