@@ -6,11 +6,9 @@ the whole number c and serve every beta.
 
 Spark does the bulk: equal rows are matched by counting (unordered) or cut off at both ends
 (ordered), and only what is left of a pair goes to Arrow tasks, many small pairs per batch. A long ordered pair is
-cut into blocks that are solved along the anti-diagonals, and a long weight matrix into blocks of prediction rows;
-what is left of an unordered pair is solved in one task, exactly, whatever its size.
-
-``cap`` is an explicit choice: with a number, pairs with a side above it are left out of the alignments and take the
-soft score in ``bf_score``. Without one (None) every pair is aligned.
+cut into blocks that are solved along the anti-diagonals, and a long weight matrix into blocks of prediction rows.
+What is left of an unordered pair is solved in one task while its weights fit in ``SPREAD`` entries, and else by the
+matching that is spread over tasks (``operators/matching.py``). Both are exact, and every pair is aligned whatever its size.
 """
 
 from __future__ import annotations
@@ -28,22 +26,18 @@ from ledgerlens.functions import cells as C
 from ledgerlens.functions.alignment import best_matching, block_in_order, overlaps
 from ledgerlens.operators import rows as R
 from ledgerlens.operators.exact import row_counts
+from ledgerlens.operators.matching import heaviest_matching
 from ledgerlens.operators.rows import PAIR
-from ledgerlens.operators.soft import fbeta, soft_sums
 from ledgerlens.session import stage
 
-ROW_CAP = 1000
 BLOCK = 1024  # rows of a block in the ordered alignment
+SPREAD = 1 << 22  # row pairs that one task solves; above it the matching is spread
 _EMIT = 1 << 22  # weights per outgoing batch; incoming batches are bounded in bytes by Spark
 
 # The kernels travel inside the task: workers need numpy and pyarrow, not this package.
 cloudpickle.register_pickle_by_value(ledgerlens)
 
 
-def within_cap(n: Column, m: Column, cap: int | None = ROW_CAP) -> Column:
-    return F.lit(True) if cap is None else (n <= cap) & (m <= cap)
-
-
 def row_fbeta(p: Column, g: Column, beta: float = 2.0) -> Column:
     """F-beta of two rows as multisets of cell keys."""
     shared = F.size(F.array_intersect(C.counted_keys(p), C.counted_keys(g)))
@@ -85,20 +79,16 @@ def _answer(batch: pa.RecordBatch, shared: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAIR), shared], names=[*PAIR, "shared"])
 
 
-def _small(sided: DataFrame, cap: int | None) -> DataFrame:
-    return sided.where(within_cap(F.col("n"), F.col("m"), cap))
-
-
 # -- weights ---------------------------------------------------------------------------------
 
 
-def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float = 2.0, cap: int | None = None) -> DataFrame:
+def pair_weights(results: DataFrame, pairs: DataFrame | None = None, beta: float = 2.0) -> DataFrame:
     """The weight matrix, one line per prediction row: ``weights[j]`` for expected row j.
 
     Prediction rows go in blocks of at most _EMIT weights, each with all expected rows: what a line of the result holds.
     """
     pairs = R.pair_list(results) if pairs is None else pairs
-    sided = _small(R.pair_sides(results, pairs), cap)
+    sided = R.pair_sides(results, pairs)
     lines = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(_EMIT) / F.greatest(F.col("m"), F.lit(1))))).cast("bigint")
     mine = F.floor(F.col("row_idx") / lines).cast("bigint")
     every = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / lines).cast("bigint"))
@@ -143,7 +133,7 @@ def mismatch_span(aligned: DataFrame) -> DataFrame:
     return spans.groupBy(*PAIR).agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
 
 
-def align_ordered(sided: DataFrame, cap: int | None = None, spans: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def align_ordered(sided: DataFrame, spans: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Most shared cells over all matchings without crossings: (query_id, variant, shared).
 
     Leading equal rows belong to a best matching, and so do trailing ones if both tables are
@@ -151,10 +141,9 @@ def align_ordered(sided: DataFrame, cap: int | None = None, spans: DataFrame | N
     ``block`` x ``block`` rows. The blocks of an anti-diagonal depend only on the two before it, so each
     anti-diagonal is one job over all pairs. Pairs that are equal all along, or have no row, are not listed: see ``equal_shared``.
     """
-    small = _small(sided, cap)
-    spans = mismatch_span(R.by_position(small)) if spans is None else spans
+    spans = mismatch_span(R.by_position(sided)) if spans is None else spans
     open_rows = (
-        small.join(spans, PAIR)
+        sided.join(spans, PAIR)
         .withColumn("hi", F.when(F.col("n") == F.col("m"), F.col("hi")).otherwise(F.greatest("n", "m")))
         .withColumn(
             "cut",
@@ -219,21 +208,32 @@ def equal_shared() -> Column:
 # -- unordered -------------------------------------------------------------------------------
 
 
-def align_unordered(sided: DataFrame, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+def _by_size(left: DataFrame, n: Column, m: Column, spread: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the pairs that one task solves, and of those that are spread, None where there are none."""
+    large = stage(left.groupBy(*PAIR).agg(n.alias("n"), m.alias("m")).where(F.col("n") * F.col("m") > spread).select(*PAIR), "large")
+    if large.isEmpty():
+        return left, None
+    return left.join(large, PAIR, "left_anti"), left.join(large, PAIR, "left_semi")
+
+
+def align_unordered(sided: DataFrame, counts: DataFrame | None = None, spread: int = SPREAD) -> DataFrame:
     """Most shared cells over all matchings: (query_id, variant, shared).
 
     Equal rows are matched with each other by counting copies, which is exact for tables of one
-    width. The rest is solved per pair on distinct rows repeated by their left-over copies.
+    width. The rest is solved on distinct rows repeated by their left-over copies: a pair of more than ``spread`` row pairs over many tasks, any other in one.
     """
     if counts is None:
-        counts = row_counts(_small(sided, cap), _marks(F.col("cells")).alias("k0"))
+        counts = row_counts(sided, _marks(F.col("cells")).alias("k0"))
     both = F.least("cp", "cg")
-    peeled = counts.select(
-        *PAIR,
-        F.col("k0").alias("marks"),
-        both.alias("both"),
-        (F.col("cp") - both).cast("int").alias("cp"),
-        (F.col("cg") - both).cast("int").alias("cg"),
+    peeled = stage(
+        counts.select(
+            *PAIR,
+            F.col("k0").alias("marks"),
+            both.alias("both"),
+            (F.col("cp") - both).cast("int").alias("cp"),
+            (F.col("cg") - both).cast("int").alias("cg"),
+        ),
+        "peeled",
     )
     equal = peeled.groupBy(*PAIR).agg(F.sum(F.col("both") * F.size("marks")).alias("equal"))
 
@@ -245,28 +245,39 @@ def align_unordered(sided: DataFrame, cap: int | None = None, counts: DataFrame
                 best.append(int(shared[np.flatnonzero(held >= 0), held[held >= 0]].sum()))
             yield _answer(batch, pa.array(best, pa.int64()))
 
-    rest = peeled.where("cp + cg > 0").groupBy(*PAIR).agg(
+    left = peeled.where("cp + cg > 0")
+    near, far = _by_size(left, F.sum("cp"), F.sum("cg"), spread)
+    rest = near.groupBy(*PAIR).agg(
         *[F.flatten(F.collect_list(F.array_repeat("marks", F.col(c)))).alias(side) for c, side in (("cp", "p"), ("cg", "g"))]
     )
     open_pairs = rest.where((F.size("p") > 0) & (F.size("g") > 0))
     inner = open_pairs.mapInArrow(solve, "query_id string, variant int, shared bigint").withColumnRenamed("shared", "inner")
+    if far is not None:
+        copies = F.explode(F.array_repeat(F.when(F.col("cp") > 0, "p").otherwise("g"), F.greatest("cp", "cg"))).alias("side")
+        numbered = stage(far.select(*PAIR, "marks", copies).withColumn("id", F.monotonically_increasing_id()), "copies")
+        inner = inner.unionByName(heaviest_matching(numbered).groupBy(*PAIR).agg(F.sum("shared").alias("inner")))
     zero = F.lit(0).cast("bigint")
     return R.merge_pairs(equal, inner).select(
         *PAIR, (F.coalesce("equal", zero) + F.coalesce("inner", zero)).alias("shared")
     )
 
 
-def match_assignment(sided: DataFrame, cap: int | None = None) -> DataFrame:
+def match_assignment(sided: DataFrame, spread: int = SPREAD) -> DataFrame:
     """For each prediction row the expected row it is matched with, -1 where there is none."""
-    rows = _small(sided, cap).select(*PAIR, "side", "row_idx", _marks(F.col("cells")).alias("marks"))
+    rows = sided.select(*PAIR, "side", "row_idx", _marks(F.col("cells")).alias("marks"))
     copies = Window.partitionBy(*PAIR, "marks", "side").orderBy("row_idx")
     numbered = rows.withColumn("copy", F.row_number().over(copies))
     is_pred = F.col("side") == "p"
-    met = numbered.groupBy(*PAIR, "marks", "copy").agg(
-        F.max(F.when(is_pred, F.col("row_idx"))).alias("p"), F.max(F.when(~is_pred, F.col("row_idx"))).alias("g")
+    met = stage(
+        numbered.groupBy(*PAIR, "marks", "copy").agg(
+            F.max(F.when(is_pred, F.col("row_idx"))).alias("p"), F.max(F.when(~is_pred, F.col("row_idx"))).alias("g")
+        ),
+        "met",
     )
     equal = met.where("p IS NOT NULL AND g IS NOT NULL").select(*PAIR, F.col("p").alias("row_idx"), F.col("g").alias("partner"))
-    rest = met.where("p IS NULL OR g IS NULL").select(
+    left = met.where("p IS NULL OR g IS NULL")
+    near, far = _by_size(left, F.count("p"), F.count("g"), spread)
+    rest = near.select(
         *PAIR, F.when(F.col("g").isNull(), "p").otherwise("g").alias("side"), F.coalesce("p", "g").alias("row_idx"), "marks"
     )
 
@@ -282,7 +293,13 @@ def match_assignment(sided: DataFrame, cap: int | None = None) -> DataFrame:
 
     schema = "query_id string, variant int, p_at array<bigint>, partners array<bigint>"
     solved = _tables(rest, place=True).mapInArrow(solve, schema).select(*PAIR, F.explode(F.arrays_zip("p_at", "partners")).alias("line"))
-    return equal.unionByName(solved.select(*PAIR, F.col("line.p_at").alias("row_idx"), F.col("line.partners").alias("partner")))
+    found = equal.unionByName(solved.select(*PAIR, F.col("line.p_at").alias("row_idx"), F.col("line.partners").alias("partner")))
+    if far is None:
+        return found
+    rows = far.select(*PAIR, F.when(F.col("g").isNull(), "p").otherwise("g").alias("side"), F.coalesce("p", "g").alias("id"), "marks")
+    pairs = heaviest_matching(rows).select(*PAIR, F.col("p").alias("id"), F.col("g").alias("partner"))
+    spread_out = rows.where("side = 'p'").join(pairs, [*PAIR, "id"], "left")
+    return found.unionByName(spread_out.select(*PAIR, F.col("id").alias("row_idx"), F.coalesce("partner", F.lit(-1)).alias("partner")))
 
 
 # -- score -----------------------------------------------------------------------------------
@@ -307,30 +324,19 @@ def bf_score(
     beta: float = 2.0,
     ordered: bool = False,
     dedup: bool = True,
-    cap: int | None = None,
     legacy_empty: bool = False,
 ) -> DataFrame:
-    """Bipartite F-beta per (query, variant). With a ``cap``, pairs above it take the soft score at this beta.
+    """Bipartite F-beta per (query, variant).
 
     ``legacy_empty`` gives an empty prediction 1/m in the ordered form instead of 0.
     """
     pairs = R.pair_list(results) if pairs is None else pairs
-    small_pair = within_cap(F.col("n"), F.col("m"), cap)
-    small, big = pairs.where(small_pair), pairs.where(~small_pair)
-    far = R.pair_sides(R.dedup_rows(results, "ordered") if dedup else results, big)
     if dedup:
-        rows = R.dedup_rows(results, "bag")
-        gold = small.select(*PAIR, F.lit("g").alias("side"))
-        pred = small.select("query_id", F.lit(0).alias("variant"), F.lit("p").alias("side")).distinct()
-        small = R.pair_list(rows, gold.unionByName(pred))
-    else:
-        rows = results
-    near = R.pair_sides(rows, small)
-    best = align_ordered(near, cap) if ordered else align_unordered(near, cap)
+        results = R.dedup_rows(results, "bag")
+        gold = pairs.select(*PAIR, F.lit("g").alias("side"))
+        pred = pairs.select("query_id", F.lit(0).alias("variant"), F.lit("p").alias("side")).distinct()
+        pairs = R.pair_list(results, gold.unionByName(pred))
+    sided = R.pair_sides(results, pairs)
+    best = align_ordered(sided) if ordered else align_unordered(sided)
     shared = F.coalesce(F.col("shared"), equal_shared()) if ordered else F.coalesce("shared", F.lit(0))
-    scored = R.merge_pairs(small, best).select(*PAIR, overlap_score(shared, beta, ordered, legacy_empty).alias("score"))
-    if cap is None:
-        return scored
-    sums = soft_sums(R.by_position(far))
-    soft = sums.select(*PAIR, fbeta(F.col("hit"), F.col("p_only"), F.col("g_only"), beta).alias("score"))
-    return scored.unionByName(soft)
+    return R.merge_pairs(pairs, best).select(*PAIR, overlap_score(shared, beta, ordered, legacy_empty).alias("score"))

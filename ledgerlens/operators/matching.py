@@ -28,6 +28,7 @@ from ledgerlens.operators.rows import PAIR, dense_index
 from ledgerlens.session import stage
 
 BLOCK = 2048
+_TURN = 7919  # a prime: how far apart two neighbouring rows begin
 
 cloudpickle.register_pickle_by_value(ledgerlens)
 
@@ -52,7 +53,10 @@ def _weights(nodes: DataFrame, block: int) -> DataFrame:
 
 
 def _tight(weights: DataFrame, frontier: DataFrame, unseen: DataFrame, block: int) -> DataFrame:
-    """(query_id, variant, g, p): for each unseen expected row the first prediction row of the frontier that is tight with it."""
+    """(query_id, variant, g, p): for each unseen expected row one prediction row of the frontier that is tight with it.
+
+    Each expected row begins its choice elsewhere, so that rows that are tight with the same ones join many trees, not one.
+    """
 
     def along(rows: DataFrame, place: str, out: str) -> DataFrame:
         one = F.struct((F.col("at") % block).cast("int").alias("o"), F.col("price").cast("int").alias("price"))
@@ -70,14 +74,15 @@ def _tight(weights: DataFrame, frontier: DataFrame, unseen: DataFrame, block: in
                 fits = w[np.ix_(p, g)].astype(np.int32) == p_price[:, None] + g_price[None, :]
                 met = np.flatnonzero(fits.any(axis=0))
                 if met.size:
-                    whose = p[fits[:, met].argmax(axis=0)].astype(np.int64) + one["i"].as_py() * block
+                    turn = (np.arange(p.size)[:, None] + g[met].astype(np.int64) * _TURN) % p.size
+                    whose = p[np.where(fits[:, met], turn, p.size).argmin(axis=0)].astype(np.int64) + one["i"].as_py() * block
                     keys = [pa.repeat(one[c], met.size) for c in PAIR]
                     places = [pa.array(g[met].astype(np.int64) + one["j"].as_py() * block), pa.array(whose)]
                     yield pa.RecordBatch.from_arrays([*keys, *places], names=[*PAIR, "g", "p"])
 
     lined = weights.join(along(frontier, "i", "p"), [*PAIR, "i"]).join(along(unseen, "j", "g"), [*PAIR, "j"])
     found = lined.mapInArrow(meet, "query_id string, variant int, g bigint, p bigint")
-    return found.groupBy(*PAIR, "g").agg(F.min("p").alias("p"))
+    return found.groupBy(*PAIR, "g").agg(F.min_by("p", F.xxhash64("p", "g")).alias("p"))
 
 
 def _phase(weights: DataFrame, state: DataFrame, levels: DataFrame, block: int) -> DataFrame | None:

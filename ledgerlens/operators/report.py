@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import rows as R
 from ledgerlens.functions import cells as C
 from ledgerlens.operators.bipartite import (
-    ROW_CAP,
     _marks,
     align_ordered,
     align_unordered,
@@ -16,7 +15,6 @@ from ledgerlens.operators.bipartite import (
     equal_shared,
     mismatch,
     overlap_score,
-    within_cap,
 )
 from ledgerlens.operators.exact import ex_match, row_counts
 from ledgerlens.operators.rows import PAIR, SIZES
@@ -35,7 +33,6 @@ def score_results(
     bf_beta: float = 2.0,
     sf_beta: float = 1.0,
     dedup: bool = False,
-    cap: int | None = None,
     legacy_empty: bool = False,
     staged: bool = True,
 ) -> DataFrame:
@@ -51,8 +48,8 @@ def score_results(
             "exo": ex_match(results, pairs, ordered=True),
             "exu": ex_match(results, pairs),
             "sfo": soft_fbeta(results, pairs, sf_beta),
-            "bfo": bf_score(results, pairs, bf_beta, True, True, cap, legacy_empty),
-            "bfu": bf_score(results, pairs, bf_beta, False, True, cap),
+            "bfo": bf_score(results, pairs, bf_beta, True, True, legacy_empty),
+            "bfu": bf_score(results, pairs, bf_beta, False, True),
         }
         named = [scores.withColumnRenamed("score", name) for name, scores in parts.items()]
         return R.merge_pairs(pairs.select(*PAIR, "n", "m"), *named)
@@ -74,19 +71,14 @@ def score_results(
         )
     )
     rows = row_counts(sided, _marks(F.col("cells")).alias("k0"), C.encoded_keys(F.col("cells")).alias("k1"))
-    small = within_cap(F.col("n"), F.col("m"), cap)
-    by_marks = rows.where(small).groupBy(*PAIR, *SIZES, "k0").agg(F.sum("cp").alias("cp"), F.sum("cg").alias("cg"))
+    by_marks = rows.groupBy(*PAIR, *SIZES, "k0").agg(F.sum("cp").alias("cp"), F.sum("cg").alias("cg"))
     exu = rows.groupBy(*PAIR).agg(F.bool_and(F.col("cp") == F.col("cg")).cast("double").alias("exu"))
     spans = positional.where("lo IS NOT NULL").select(*PAIR, "lo", "hi")
-    in_order = align_ordered(sided, cap, spans).withColumnRenamed("shared", "shared_o")
-    free = align_unordered(sided, cap, by_marks).withColumnRenamed("shared", "shared_u")
+    in_order = align_ordered(sided, spans).withColumnRenamed("shared", "shared_o")
+    free = align_unordered(sided, by_marks).withColumnRenamed("shared", "shared_u")
     sums = F.col("hit"), F.col("p_only"), F.col("g_only")
     nothing = (F.col("n") == 0) & (F.col("m") == 0)
 
-    def bipartite(shared, ordered: bool):
-        exact = overlap_score(shared, bf_beta, ordered, legacy_empty)
-        return F.when(small, exact).otherwise(fbeta(*sums, bf_beta))
-
     one = F.lit(1.0)
     return R.merge_pairs(pairs, positional, exu, in_order, free).select(
         *PAIR,
@@ -95,14 +87,14 @@ def score_results(
         F.coalesce("exo", one).alias("exo"),
         F.coalesce("exu", one).alias("exu"),
         F.when(nothing, one).otherwise(fbeta(*sums, sf_beta)).alias("sfo"),
-        bipartite(F.coalesce(F.col("shared_o"), equal_shared()), True).alias("bfo"),
-        bipartite(F.coalesce("shared_u", F.lit(0)), False).alias("bfu"),
+        overlap_score(F.coalesce(F.col("shared_o"), equal_shared()), bf_beta, True, legacy_empty).alias("bfo"),
+        overlap_score(F.coalesce("shared_u", F.lit(0)), bf_beta, False).alias("bfu"),
     )
 
 
-def large_result_flags(results: DataFrame, cap: int = ROW_CAP) -> DataFrame:
-    """Result tables above the row cap."""
-    return R.table_sizes(results).where(F.col("n_rows") > cap).select("query_id", "side", "variant", "n_rows")
+def large_result_flags(results: DataFrame, above: int = 1000) -> DataFrame:
+    """Result tables of more than ``above`` rows: a report, nothing is scored otherwise for it."""
+    return R.table_sizes(results).where(F.col("n_rows") > above).select("query_id", "side", "variant", "n_rows")
 
 
 def best_variant(scores: DataFrame, best: str = "exo") -> DataFrame:

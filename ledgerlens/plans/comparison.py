@@ -352,24 +352,12 @@ def bf_score(spark, folder):
     return scores.select("query_id", "variant", F.round("score", 6).alias("score"))
 
 
-@add(
-    "row_cap_fallback",
-    X.PARTS_SQL + _CELLS_CTE
-    + f"SELECT query_id, 0 AS variant, {_fbeta_sql(2)} AS score FROM pr JOIN sizes USING (query_id) WHERE n > 25 OR m > 25",
-)
-def row_cap_fallback(spark, folder):
-    results = X.stored_parts(spark, folder)
-    pairs = R.pair_list(results).where("n > 25 OR m > 25")
-    scores = B.bf_score(results, pairs, dedup=False, cap=25)
-    return scores.select("query_id", "variant", F.round("score", 6).alias("score"))
-
-
 @add(
     "large_result_flags",
     X.PARTS_SQL + "SELECT query_id, side, 0 AS variant, COUNT(*) AS n_rows FROM marked GROUP BY query_id, side HAVING COUNT(*) > 35",
 )
 def large_result_flags(spark, folder):
-    return P.large_result_flags(X.parts(spark, folder), cap=35)
+    return P.large_result_flags(X.parts(spark, folder), above=35)
 
 
 # -- outcome and report ----------------------------------------------------------------------
@@ -378,7 +366,7 @@ def large_result_flags(spark, folder):
 def _outcomes(spark, folder):
     """Best variant per query with its difficulty; the last year stands for failed predictions."""
     base = stage(X.months_base(spark, folder), "months")
-    scores = P.best_variant(P.score_results(stage(X.months(base), "results"), cap=None))
+    scores = P.best_variant(P.score_results(stage(X.months(base), "results")))
     failed = F.col("year") == "2001"
     return (
         scores.join(X.months_meta(base), "query_id")
@@ -427,7 +415,7 @@ def _rounded(names):
 )
 def best_variant(spark, folder):
     results = X.stored_months(spark, folder)
-    return P.best_variant(P.score_results(results, cap=None)).select("query_id", "variant", *_rounded(P.METRICS))
+    return P.best_variant(P.score_results(results)).select("query_id", "variant", *_rounded(P.METRICS))
 
 
 def _report_sql() -> str:

@@ -426,22 +426,6 @@ def resolve_database(spark, folder):
     return Q.resolve_database(questions(spark, folder), catalog).select("id", "path", "database_error")
 
 
-@add("file_integrity")
-def file_integrity(spark, folder):
-    """The table files against a manifest that Spark takes from them, with some entries spoilt."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    manifest = files.select(
-        name.alias("name"),
-        F.when(name != "nation.parquet", F.when(name == "region.parquet", F.lit("0")).otherwise(F.md5("content"))).alias("expected_md5"),
-        F.col("length").alias("expected_size"),
-    )
-    return J.file_integrity(spark, manifest, folder, "*.parquet")
-
-
-# -- other corpora ---------------------------------------------------------------------------
-
-
 @add(
     "unify_bird",
     """SELECT format('Q{:05d}', CASE WHEN doc_id % 7 = 0 THEN doc_id + 5 ELSE doc_id + 1000 END) AS id, source AS database, md5(text) AS question, 'SELECT ' || n_chars AS sql,

@@ -8,7 +8,7 @@ from ledgerlens.operators import exact as E
 from ledgerlens.operators import report as P
 from ledgerlens.operators import rows as R
 from ledgerlens.operators import soft as S
-from tests.helpers import best_ordered, expected, overlap, results, soft
+from tests.helpers import best_free, best_ordered, expected, overlap, results, soft
 
 
 def random_cases(rng, count, most=5):
@@ -101,18 +101,32 @@ def test_empty_prediction(spark):
     assert legacy == {"one": 1.0, "three": pytest.approx(1 / 3), "none": 1.0}
 
 
-def test_row_cap_takes_the_soft_score(spark):
+def test_size_switches_no_metric(spark):
     p = [(i,) for i in range(1001)]
     g = [(i if i % 3 else -1,) for i in range(1001)]
     rows, pairs = results(spark, {"big": (p, [g]), "small": (p[:5], [g[:5]])}, ["int"])
-    scores = {r["query_id"]: r for r in P.score_results(rows, pairs, cap=B.ROW_CAP).collect()}
-    assert scores["big"]["bfo"] == scores["big"]["bfu"] == pytest.approx(soft(p, g, 2.0))
-    whole = {r["query_id"]: r for r in P.score_results(rows, pairs).collect()}
-    assert whole["big"]["bfu"] == pytest.approx(667 / 1001)  # no switch unless it is asked for
+    scores = {r["query_id"]: r for r in P.score_results(rows, pairs).collect()}
+    assert scores["big"]["bfu"] == pytest.approx(667 / 1001)
     assert scores["small"]["bfu"] == pytest.approx(expected(p[:5], g[:5])[4])
     assert [r["query_id"] for r in P.large_result_flags(rows).collect()] == ["big", "big"]
 
 
+def test_spread_pairs_score_as_much(spark):
+    """The matching over many tasks and the one in a single task give equal sums, copies and one-sided rows included."""
+    rng = random.Random(11)
+    cases = random_cases(rng, 12, most=9)
+    rows, pairs = results(spark, cases, ["int", "int"])
+    sided = R.pair_sides(rows, pairs)
+    for spread in (B.SPREAD, 0):
+        got = {r["query_id"]: r["shared"] for r in B.align_unordered(sided, spread=spread).collect()}
+        partner = {(r["query_id"], r["row_idx"]): r["partner"] for r in B.match_assignment(sided, spread=spread).collect()}
+        for query, (p, (g,)) in cases.items():
+            assert got.get(query, 0) == best_free(p, g), (query, p, g)
+            mine = [partner[query, i] for i in range(len(p))]
+            taken = [j for j in mine if j >= 0]
+            assert len(set(taken)) == len(taken) and sum(overlap(p[i], g[j]) for i, j in enumerate(mine) if j >= 0) == best_free(p, g)
+
+
 def test_mixed_widths(spark):
     schema = "query_id string, side string, variant int, row_idx bigint, a int, b int"
     wide = R.norm_cells(spark.createDataFrame([("q", "p", 0, 0, 1, 9)], schema), ["a", "b"])
@@ -173,7 +187,7 @@ def test_long_pairs_are_aligned_exactly(spark):
     for ordered in (True, False):
         scores = {r["query_id"]: r["score"] for r in B.bf_score(rows, pairs, ordered=ordered, dedup=False).collect()}
         assert scores == {"big": pytest.approx(1000 / 1001), "short": pytest.approx(2 / 3)}
-    full = {r["query_id"]: r for r in P.score_results(rows, pairs, cap=None).collect()}["big"]
+    full = {r["query_id"]: r for r in P.score_results(rows, pairs).collect()}["big"]
     assert full["bfo"] == full["bfu"] == pytest.approx(1000 / 1001)
     weights = {r["row_idx"]: r["weights"] for r in B.pair_weights(rows, pairs).where("query_id = 'big'").collect()}
     assert len(weights) == 1001 and weights[17][18] == 1.0 and all(len(w) == 1001 for w in weights.values())
