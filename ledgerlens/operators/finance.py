@@ -6,6 +6,8 @@ and totals come from a second aggregation, never from a window over all members.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,6 +247,34 @@ def double_factor(df: DataFrame, by: list[str], member: str) -> DataFrame:
     ).orderBy(*by, F.desc_nulls_last("compound"), member)
 
 
+#: What each form of the double factor takes for revenue and cost; expense is cost and tax.
+FACTOR_FORMS = {
+    "total": ("rev_eq + rev_sv", "cost_eq + cost_sv + tax"),
+    "sales": ("rev_eq + rev_sv", "cost_eq + cost_sv"),
+    "equipment": ("rev_eq", "cost_eq"),
+    "service": ("rev_sv", "cost_sv"),
+}
+
+
+def factor_forms(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums rev_eq, rev_sv, cost_eq, cost_sv and tax to one row per form: form, keys, rev, cost. The sums are worked out once for all forms."""
+    forms = F.array(
+        *[
+            F.struct(F.lit(form).alias("form"), F.expr(rev).cast(MONEY).alias("rev"), F.expr(cost).cast(MONEY).alias("cost"))
+            for form, (rev, cost) in FACTOR_FORMS.items()
+        ]
+    )
+    return df.select(*keys, F.inline(forms))
+
+
+def two_years(df: DataFrame, keys: list[str], year: str, now: str, columns: tuple[str, ...] = ("rev", "cost")) -> DataFrame:
+    """The columns of a year and, as ``<name>_py``, of the year before; members without rows in either year are left out."""
+    sides = ((now, ""), (str(int(now) - 1), "_py"))
+    sums = [F.sum(F.when(F.col(year) == y, F.col(c))).cast(MONEY).alias(f"{c}{end}") for c in columns for y, end in sides]
+    here = [F.col(f"{columns[0]}{end}").isNotNull() for _, end in sides]
+    return df.groupBy(*keys).agg(*sums).where(here[0] & here[1])
+
+
 def rolling_three(df: DataFrame, dims: list[str], order: str = "quarter", trailing: bool = False) -> Column:
     """Average over three quarters, centred or trailing; null unless all three are there."""
     frame = (-2, 0) if trailing else (-1, 1)
@@ -271,3 +301,41 @@ def stars(quarters: DataFrame, dims: list[str], above: float = 0.1, run: int = 3
         .where((F.col("_known") == run) & (F.col("_low") > above))
         .drop("_low", "_known")
     )
+
+
+def closed_quarter(day_asked: str) -> str:
+    """The last quarter that is over on a day: 2000-08-15 asks for 2000Q2, 2000-09-30 for 2000Q3."""
+    tomorrow = date.fromisoformat(day_asked) + timedelta(days=1)
+    index = tomorrow.year * 4 + (tomorrow.month - 1) // 3 - 1
+    return f"{index // 4}Q{index % 4 + 1}"
+
+
+def last_month(quarter: str) -> str:
+    return f"{quarter[:4]}{int(quarter[5]) * 3:02d}"
+
+
+def quarter_number(quarter: Column) -> Column:
+    return F.substring(quarter, 1, 4).cast("int") * 4 + F.substring(quarter, 6, 1).cast("int")
+
+
+def lasting_stars(quarters: DataFrame, dims: list[str], last: str, above: float = 0.1, run: int = 3) -> DataFrame:
+    """Members whose growth by more than ``above`` lasts up to the quarter ``last``, for at least ``run`` quarters.
+
+    ``quarters`` are dense. The run is what follows the last quarter that did not grow so (the first quarter of all has no rate and
+    counts as such), so one aggregation per member finds it: since, n_quarters, the amounts before and at its end, and the growth between.
+    """
+    order = Window.partitionBy(*dims).orderBy("quarter")
+    rate = growth(F.col("amt"), F.lag("amt").over(order))
+    rates = quarters.where(F.col("quarter") <= last).withColumn("_grew", F.coalesce(rate > above, F.lit(False)))
+    base = F.max(F.when(~F.col("_grew"), F.struct("quarter", "amt")))
+    found = rates.groupBy(*dims).agg(base.alias("_base"), F.max(F.struct("quarter", "amt")).alias("_end"))
+    length = quarter_number(F.lit(last)) - quarter_number(F.col("_base.quarter"))
+    since = quarter_number(F.col("_base.quarter"))  # quarters count from 1, so this number is the next quarter's from 0
+    return found.where((F.col("_end.quarter") == last) & (length >= run)).select(
+        *dims,
+        F.concat(F.floor(since / 4).cast("string"), F.lit("Q"), (since % 4 + 1).cast("string")).alias("since"),
+        length.alias("n_quarters"),
+        F.col("_base.amt").alias("amt_before"),
+        F.col("_end.amt").alias("amt"),
+        growth(F.col("_end.amt"), F.col("_base.amt")).alias("growth"),
+    )

@@ -226,3 +226,54 @@ def run_sql_pair(spark: SparkSession, gold_sql: str, pred_sql: str, **options) -
     results = stage(R.dense_index(stage(both, "pair"), keys, F.col("row_idx")).select(*keys, "row_idx", "cells"), "rows")
     runs = spark.createDataFrame([("pair", "g", 0), ("pair", "p", 0)], "query_id string, side string, variant int")
     return gold, pred, P.score_results(results, R.pair_list(results, runs), **options)
+
+
+@dataclass(frozen=True)
+class QuestionRun:
+    """One question with its tables; ``predicted`` and ``outcome`` are there only where a statement was given.
+
+    A table that cannot be made is None, with Spark's words in ``errors``.
+    """
+
+    question: DataFrame
+    expected: DataFrame | None
+    predicted: DataFrame | None
+    outcome: DataFrame | None
+    errors: dict[str, str]
+
+
+def run_statement(
+    spark: SparkSession, sql: str, catalog: DataFrame | None = None, benchmark: str | None = None, database: str | None = None
+) -> DataFrame:
+    """The table of a bare statement, over the tables of one database of the catalog."""
+    return Databases(spark, catalog).session(benchmark, database).sql(sql.strip())
+
+
+def run_question(
+    spark: SparkSession, questions: DataFrame, query_id: str, sql: str | None = None, catalog: DataFrame | None = None, **options
+) -> QuestionRun:
+    """Look a question up by id and run its first expected statement and, if given, a predicted one in the question's database.
+
+    The outcome is that of ``evaluate_submission`` for this one answer, all variants included; ``options`` are passed on to it.
+    An id that is not there is a KeyError; a statement that fails leaves its table out and is told in ``errors``.
+    """
+    own = questions.where(F.col("id") == query_id)
+    question = stage(Q.latest_by_id(own) if "pos" in questions.columns else own, "question")
+    found = question.first()
+    if found is None:
+        raise KeyError(f"no question has the id {query_id}")
+    entry = found.asDict()
+    home = entry.get("benchmark"), entry.get("database")
+    tables, errors = {}, {}
+    gold = Q.gold_variants(question).orderBy("variant").first()["sql"]
+    for side, text in (("expected", gold), ("predicted", sql)):
+        if text:
+            try:
+                tables[side] = run_statement(spark, text, catalog, *home)
+            except Exception as error:  # a statement that cannot be read is a finding about the statement
+                errors[side] = (str(error).strip().splitlines() or [type(error).__name__])[0]
+    outcome = None
+    if sql is not None:
+        answer = spark.createDataFrame([(query_id, sql)], "id string, sql string")
+        outcome = evaluate_submission(spark, question, answer, catalog=catalog, **options)
+    return QuestionRun(question, tables.get("expected"), tables.get("predicted"), outcome, errors)

@@ -646,6 +646,33 @@ def double_factor(spark, folder):
     return out.select("r_name", "n_name", *six("structure", "margin", "compound"))
 
 
+_FORMS_SQL = "UNION ALL ".join(
+    f"SELECT '{form}' AS form, r_name, n_name, year, {rev} AS rev, {cost} AS cost FROM t "
+    for form, rev, cost in (
+        ("total", "rev", "expense"), ("sales", "rev", "cost_eq + cost_sv"), ("equipment", "rev_eq", "cost_eq"), ("service", "rev_sv", "cost_sv"),
+    )
+)
+
+
+@add(
+    "double_factor_forms",
+    _MARGIN_SQL.format(dims="r_name, n_name, year") + f""", forms AS ({_FORMS_SQL}), k AS (
+  SELECT a.form, a.r_name, a.n_name, a.rev, b.rev AS rev_py, a.cost, b.cost AS cost_py FROM forms a JOIN forms b ON a.form = b.form AND a.n_name = b.n_name AND a.year = '2000' AND b.year = '1999'),
+w AS (SELECT *, SUM(rev) OVER p AS tr, SUM(rev_py) OVER p AS trp, SUM(cost_py) OVER p AS tcp FROM k WINDOW p AS (PARTITION BY form, r_name)),
+f AS (SELECT form, r_name, n_name, ({ratio('rev', 'tr')} - {ratio('rev_py', 'trp')}) * ({ratio('(rev_py - cost_py)', 'rev_py')} - {ratio('(trp - tcp)', 'trp')}) AS structure,
+  {ratio('rev', 'tr')} * ({ratio('(rev - cost)', 'rev')} - {ratio('(rev_py - cost_py)', 'rev_py')}) AS margin FROM w)
+SELECT form, r_name, n_name, {r6('structure', 'structure')}, {r6('margin', 'margin')}, {r6('structure + margin', 'compound')} FROM f""",
+)
+def double_factor_forms(spark, folder):
+    """Total, sales, equipment and service revenue decomposed from one scan of two years."""
+    keys = ["r_name", "n_name"]
+    months = monthly(spark, folder, keys, cost=True, spans=[("199901", "200012")]).withColumn("year", A.year_of(F.col("period")))
+    years = A.total(months, [*keys, "year"], ("rev_eq", "rev_sv", "cost_eq", "cost_sv", "tax"))
+    both = A.two_years(A.factor_forms(years, [*keys, "year"]), ["form", *keys], "year", "2000")
+    out = A.double_factor(stage(both, "forms"), ["form", "r_name"], "n_name")
+    return out.select("form", *keys, *six("structure", "margin", "compound"))
+
+
 _QUARTERS_SQL = """, q AS (SELECT {dims}, period[1:4] || 'Q' || CAST(ceil(CAST(period[5:6] AS INTEGER) / 3.0) AS INTEGER) AS quarter, SUM(amt) AS amt FROM d GROUP BY ALL HAVING COUNT(*) = 3)"""
 
 
@@ -688,6 +715,26 @@ def star_products(spark, folder):
     return A.stars(quarters, ["p_name"]).select("p_name", "quarter", *money("amt"), *six("qoq"))
 
 
+ASKED = "2000-08-15"
+
+
+@add(
+    "star_products_at",
+    grouped("p_name, n_name") + spine_sql("p_name, n_name") + _QUARTERS_SQL.format(dims="p_name, n_name") + f""", g AS (
+  SELECT *, row_number() OVER w AS place, {change('amt', 'lag(amt) OVER w')} AS qoq FROM q WHERE quarter <= '2000Q2' WINDOW w AS (PARTITION BY p_name, n_name ORDER BY quarter)),
+b AS (SELECT p_name, n_name, MAX(place) AS place FROM g WHERE coalesce(qoq, 0) <= 0.1 GROUP BY ALL),
+s AS (SELECT g.p_name, g.n_name, MIN(quarter) AS since, COUNT(*) AS n_quarters, MIN(b.place) AS place, MAX(amt) FILTER (quarter = '2000Q2') AS amt FROM g JOIN b ON g.p_name = b.p_name AND g.n_name = b.n_name AND g.place > b.place GROUP BY g.p_name, g.n_name)
+SELECT s.p_name, s.n_name, since, n_quarters, CAST(g.amt AS DOUBLE) AS amt_before, CAST(s.amt AS DOUBLE) AS amt, {r6(change('s.amt', 'g.amt'), 'growth')}
+FROM s JOIN g ON g.p_name = s.p_name AND g.n_name = s.n_name AND g.place = s.place WHERE n_quarters >= 3""",
+)
+def star_products_at(spark, folder):
+    """Products of a nation whose growth lasts up to a day; months after it are not read."""
+    last = A.closed_quarter(ASKED)
+    bounds = (min(month_bounds(spark, folder)[0], A.last_month(last)), A.last_month(last))
+    quarters = A.quarterly(revenue(spark, folder, ["p_name", "n_name"], [bounds]), ["p_name", "n_name"], bounds)
+    return A.lasting_stars(quarters, ["p_name", "n_name"], last).select("p_name", "n_name", "since", "n_quarters", *money("amt_before", "amt"), *six("growth"))
+
+
 def _yoy(spark, folder, member):
     years = A.with_year_before(yearly(spark, folder, member), [member], "year", "amt", "before")
     return years.where("before IS NOT NULL").withColumn("growth", A.growth(F.col("amt"), F.col("before")))

@@ -162,3 +162,19 @@ def run_sql_pair(spark, folder):
         spark, sql.format(amount), sql.format(f"CASE WHEN l_returnflag <> 'R' THEN {amount} END")
     )
     return scores.select("n", "m", "exo", F.round("sfo", 6).alias("sfo"))
+
+
+@add(
+    "run_question",
+    """SELECT l_linestatus AS k, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS expected, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) + 1 AS DOUBLE) AS predicted,
+0e0 AS exo, 0e0 AS exu, 5e-1 AS sfo, 5e-1 AS bfo, 5e-1 AS bfu FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber = 1 GROUP BY l_linestatus""",
+)
+def run_question(spark, folder):
+    """One question of a database corpus by its id, with the answer of the submission: both tables side by side and the scores."""
+    questions, submission, catalog = database_corpus(spark, folder)
+    answer = submission.where("id = 'L:N:1'").first()["sql"]
+    run = V.run_question(spark, questions, "L:N:1", answer, catalog)
+    both = run.expected.withColumnRenamed("total", "expected").join(run.predicted.withColumnRenamed("total", "predicted"), "k", "full")
+    scores = run.outcome.select("exo", "exu", "sfo", "bfo", "bfu").first()  # one row
+    metrics = [F.round(F.lit(scores[m]), 6).alias(m) for m in scores.asDict()]
+    return both.select("k", *[F.col(c).cast("double").alias(c) for c in ("expected", "predicted")], *metrics)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from ledgerlens.operators import vocabulary as V
 from ledgerlens.plans import evaluate as E
 from ledgerlens.sources import questions as J
@@ -28,6 +30,28 @@ def test_databases_may_share_table_names(spark, tmp_path, monkeypatch):
     assert "facts" not in [t.name for t in spark.catalog.listTables()]
 
 
+def test_one_question_by_id(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(f"{tmp_path}/bench/one/facts.parquet")
+    catalog = E.database_tables(spark, str(tmp_path))
+    rows = [("1", 0, "SELECT 0 AS v"), ("1", 4, "SELECT v FROM facts ORDER BY v"), ("2", 5, "SELECT w FROM facts"), ("3", 6, None)]
+    schema = "id string, pos int, benchmark string, database string, difficulty string, sql string, variants map<string,string>, order_relevant boolean"
+    questions = spark.createDataFrame([(i, p, "bench", "one", "simple", q, {}, None) for i, p, q in rows], schema)
+    shown = E.run_question(spark, questions, "1", catalog=catalog)
+    assert [r["v"] for r in shown.expected.collect()] == ["a", "b"] and shown.predicted is None and shown.outcome is None
+    shown = E.run_question(spark, questions, "1", " SELECT v FROM facts ORDER BY v DESC\n", catalog)
+    assert [r["v"] for r in shown.predicted.collect()] == ["b", "a"] and shown.errors == {}
+    assert [(r["success"], r["exo"], r["exu"]) for r in shown.outcome.collect()] == [(True, 0.0, 1.0)]
+    shown = E.run_question(spark, questions, "1", "SELECT nothing FROM facts", catalog)
+    assert shown.predicted is None and "UNRESOLVED_COLUMN" in shown.errors["predicted"]
+    assert [r["success"] for r in shown.outcome.collect()] == [False]
+    shown = E.run_question(spark, questions, "2", "SELECT v FROM facts", catalog)
+    assert shown.expected is None and "UNRESOLVED_COLUMN" in shown.errors["expected"] and shown.outcome.first()["gt_error"]
+    assert E.run_question(spark, questions, "3", catalog=catalog).errors == {}
+    assert E.run_statement(spark, "\nSELECT count(*) AS n FROM facts ", catalog, "bench", "one").first()["n"] == 2
+    with pytest.raises(KeyError):
+        E.run_question(spark, questions, "7", catalog=catalog)
+
+
 def test_open_records_survive(spark, tmp_path):
     question = {
         "benchmark": "b", "database": "d", "id": "Q1", "question": "q", "dialect": "x", "sql": "SELECT 1", "sql.2": "SELECT 2", "sql.x": "no", "score": 5, "text5": "5", "none": None, "context/zone": [], "a~1b": 0,

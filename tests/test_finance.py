@@ -62,3 +62,40 @@ def test_numbers_by_rank(spark):
     assert [r["i"] for r in sorted(got, key=lambda r: r["row_idx"])] == [i for _, _, i in sorted(rows)]
     assert sorted(r["row_idx"] for r in got) == list(range(3000))
     assert rank_index(spark.createDataFrame([], "a int"), [F.col("a")]).count() == 0
+
+
+def test_growth_that_lasts(spark):
+    rnd = random.Random(5)
+    quarters = [f"{1999 + i // 4}Q{i % 4 + 1}" for i in range(11)]
+    held = {m: [Decimal(rnd.choice([0, 1, 2])) * 10 ** rnd.choice([0, i // 2, i]) for i in range(11)] for m in range(200)}
+    held[900], held[901] = [Decimal(2) ** i for i in range(11)], [Decimal(100) + i for i in range(11)]
+    frame = spark.createDataFrame([(m, q, v) for m, vs in held.items() for q, v in zip(quarters, vs)], "member int, quarter string, amt decimal(28,4)")
+    for at in (9, 3, 10):
+        want = {}
+        for m, vs in held.items():
+            i = at
+            while i > 0 and vs[i - 1] != 0 and (vs[i] - vs[i - 1]) / vs[i - 1] > Decimal("0.1"):
+                i -= 1
+            if at - i >= 3:
+                want[m] = (quarters[i + 1], at - i, vs[i], vs[at])
+        got = {r["member"]: (r["since"], r["n_quarters"], r["amt_before"], r["amt"]) for r in A.lasting_stars(frame, ["member"], quarters[at]).collect()}
+        assert got == want and 900 in got and 901 not in got
+    assert A.lasting_stars(frame, ["member"], "2001Q4").count() == 0  # beyond the data
+    assert [A.closed_quarter(d) for d in ("2000-08-15", "2000-09-30", "2000-01-01", "2000-12-31")] == ["2000Q2", "2000Q3", "1999Q4", "2000Q4"]
+    assert A.last_month("2000Q2") == "200006"
+
+
+def test_forms_of_the_double_factor(spark):
+    rows = [("a", "1999", 10, 4, 5, 1, 2), ("a", "2000", 20, 6, 7, 2, 3), ("b", "1999", 8, 0, 3, 0, 1), ("b", "2000", 9, 0, 4, 0, 1), ("c", "2000", 9, 9, 9, 9, 9)]
+    names = ("rev_eq", "rev_sv", "cost_eq", "cost_sv", "tax")
+    frame = spark.createDataFrame(rows, "member string, year string, " + ", ".join(f"{n} int" for n in names))
+    years = A.two_years(A.factor_forms(frame, ["member", "year"]), ["form", "member"], "year", "2000")
+    held = {(r["form"], r["member"]): tuple(int(r[c]) for c in ("rev", "rev_py", "cost", "cost_py")) for r in years.collect()}
+    assert held == {
+        ("total", "a"): (26, 14, 12, 8), ("sales", "a"): (26, 14, 9, 6), ("equipment", "a"): (20, 10, 7, 5), ("service", "a"): (6, 4, 2, 1),
+        ("total", "b"): (9, 8, 5, 4), ("sales", "b"): (9, 8, 4, 3), ("equipment", "b"): (9, 8, 4, 3), ("service", "b"): (0, 0, 0, 0),
+    }
+    out = {(r["form"], r["member"]): r for r in A.double_factor(years, ["form"], "member").collect()}
+    a = out["equipment", "a"]
+    assert abs(a["structure"] - (20 / 29 - 10 / 18) * (0.5 - 10 / 18)) < 1e-12 and abs(a["margin"] - 20 / 29 * (13 / 20 - 0.5)) < 1e-12
+    assert out["service", "b"]["compound"] is None

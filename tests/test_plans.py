@@ -53,7 +53,7 @@ def test_python_runs_only_in_alignments(spark):
 
 ONE_SCAN = [
     "ytd_cumulative", "prior_year", "quarterly_from_ytd", "half_yearly", "query_time_cutoff", "view_budget_forecast", "budget_completion", "forecast_accuracy", "target_attainment",
-    "time_trend", "growth_rates", "rolling_3q", "inflection_points", "star_products", "cagr", "growth_volatility", "decline_only",
+    "time_trend", "growth_rates", "rolling_3q", "inflection_points", "star_products", "cagr", "growth_volatility", "decline_only", "star_products_at",
 ]
 
 
@@ -63,7 +63,7 @@ def test_the_fact_table_is_scanned_once(spark, name):
     assert text.count("lineitem.parquet") == 1
 
 
-@pytest.mark.parametrize("name, first", [("query_time_cutoff", "1998-01-01"), ("cagr", "1996-01-01")])
+@pytest.mark.parametrize("name, first", [("query_time_cutoff", "1998-01-01"), ("cagr", "1996-01-01"), ("star_products_at", "1995-01-01")])
 def test_months_are_pushed_to_the_scan(spark, name, first):
     text = plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
     pushed = next(line for line in text.splitlines() if "PushedFilters" in line and "l_shipdate" in line)
@@ -72,5 +72,5 @@ def test_months_are_pushed_to_the_scan(spark, name, first):
 
 def test_two_years_are_summed_before_they_are_read_twice(spark):
     """The members' sums are staged: what is left of the plan reads no fact table."""
-    for name in ("double_factor", "breakdown", "top_bottom_n", "rank_members", "multi_hop", "hhi_top_n"):
+    for name in ("double_factor", "double_factor_forms", "breakdown", "top_bottom_n", "rank_members", "multi_hop", "hhi_top_n"):
         assert "lineitem.parquet" not in plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
