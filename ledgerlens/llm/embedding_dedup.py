@@ -5,8 +5,12 @@ grid of cells. A vector lives in the cell of its nearest codewords and asks furt
 multi-sequence traversal: cell (i, j) costs a(i) + b(j), where a and b are the squared distances to the
 walls between the own and the other codeword of each half. The traversal ends at the cost below which
 ``RECALL`` of pairs at the very threshold lie, measured on the sample with vectors turned by the threshold's
-angle in random directions; nearer pairs are found more often, and a pair is found from either side. Every row is indexed. What is
-found is verified by cosine in double precision on the whole vectors.
+angle in random directions; nearer pairs are found more often. Of two cells the one with the smaller number asks the other, so a pair
+meets once. Every row is indexed. What is found is verified by cosine in double precision on the whole vectors.
+
+Codewords grow with the root of the rows of the largest label, so that its cells keep between ``CELL_ROWS`` / 2 and 2 * ``CELL_ROWS`` rows on average: the rows that one
+row meets grow far slower than the table. The sample allows ``FINEST`` codewords (some 500 million rows of a label); beyond that
+cells grow, and are cut into chunks.
 
 Equal vectors of one label are one class from the start (an aggregate), so copies never meet pairwise. Links are counted
 and joined to a forest inside the tasks; no list of pairs leaves them.
@@ -34,11 +38,14 @@ THRESHOLD = 0.93
 RECALL = 0.999
 #: Vectors that the codebooks are fitted on.
 SAMPLE = 8_192
-#: Codewords per half up to so many vectors. A finer grid trades comparisons for visits; every grid meets the target recall.
-GRIDS = ((5_000, 4), (40_000, 8), (2_000_000, 16))
-FINEST = 32
+#: Rows of a cell that the grid aims at. A finer grid trades comparisons for visits; every grid meets the target recall.
+CELL_ROWS = 1_000
+#: Least and most codewords per half; the most leaves 16 rows of the sample to a codeword.
+COARSEST, FINEST = 4, SAMPLE // 16
 #: Home or query rows of one cell that meet in one group.
 CHUNK = 1_024
+#: Rows of a frame that leave a task at once.
+FRAME = 1 << 16
 ROUNDS = 12
 
 
@@ -76,7 +83,7 @@ class MultiIndex:
     reach: float
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The own cell of each row, and its visited cells in the order of the traversal."""
+        """The own cell of each row, and the cells within reach in the order of the traversal."""
         half, width = self.first.shape[1], len(self.second)
         own_a, a = walls(x[:, :half], self.first)
         own_b, b = walls(x[:, half:], self.second)
@@ -143,33 +150,31 @@ def _placed(index: MultiIndex, width: int):
                 if not len(part):
                     continue
                 own, seen = index.visits(_unit(part["v"].tolist(), width))
-                mask = np.zeros((len(part), len(index.first) * len(index.second)), dtype=bool)
-                for i, cells in enumerate(seen):
-                    mask[i, cells] = True
-                marks = [m.tobytes() for m in np.packbits(mask, axis=1)]
-                # one row at home, one for each cell to ask
-                times = np.array([1 + len(s) for s in seen])
+                # one row at home, one for each cell to ask: its own and those of higher number, the others ask it
+                asked = [cells[cells >= o] for o, cells in zip(own, seen)]
+                times = np.array([1 + len(cells) for cells in asked])
                 row = np.repeat(np.arange(len(part)), times)
-                grid = np.concatenate([np.concatenate(([o], s)) for o, s in zip(own, seen)])
+                grid = np.concatenate([np.concatenate(([o], cells)) for o, cells in zip(own, asked)])
                 home = np.zeros(len(row), dtype=bool)
                 home[np.cumsum(times) - times] = True
-                yield pd.DataFrame(
-                    {
-                        "space": part["space"].to_numpy()[row],
-                        "grid": grid.astype(np.int32),
-                        "at_home": home,
-                        "lives": own[row].astype(np.int32),
-                        "cid": part["cid"].to_numpy()[row],
-                        "n": part["n"].to_numpy()[row],
-                        "v": part["v"].to_numpy()[row],
-                        "seen": [marks[i] for i in row],
-                    }
-                )
+                for cut in range(0, len(row), FRAME):
+                    here = row[cut : cut + FRAME]
+                    yield pd.DataFrame(
+                        {
+                            "space": part["space"].to_numpy()[here],
+                            "grid": grid[cut : cut + FRAME].astype(np.int32),
+                            "at_home": home[cut : cut + FRAME],
+                            "lives": own[here].astype(np.int32),
+                            "cid": part["cid"].to_numpy()[here],
+                            "n": part["n"].to_numpy()[here],
+                            "v": part["v"].to_numpy()[here],
+                        }
+                    )
 
     return run
 
 
-_PLACED = "space bigint, grid int, at_home boolean, lives int, cid bigint, n bigint, v binary, seen binary"
+_PLACED = "space bigint, grid int, at_home boolean, lives int, cid bigint, n bigint, v binary"
 _FOUND = "a bigint, b bigint, links bigint"
 
 
@@ -178,7 +183,6 @@ def _verify(threshold: float, width: int):
         cid = rows["cid"].to_numpy(np.int64)
         ids, where, node = np.unique(cid, return_index=True, return_inverse=True)
         unit = _unit(rows["v"].iloc[where].tolist(), width)
-        seen = np.frombuffer(b"".join(rows["seen"].iloc[where].tolist()), dtype=np.uint8).reshape(len(ids), -1)
         own = rows["lives"].to_numpy(np.int64)[where]
         n = rows["n"].to_numpy(np.int64)[where]
         links = np.zeros(len(ids), dtype=np.int64)
@@ -198,8 +202,8 @@ def _verify(threshold: float, width: int):
             x, y = asks[q], homes[h]
             x, y = x[x != y], y[x != y]
             np.add.at(links, x, n[y])
-            # y counts x here only where y's own traversal does not come to x
-            back = (seen[y, own[x] >> 3] >> (7 - (own[x] & 7))) & 1 == 0
+            # inside a cell y asks as well and counts x itself; another cell is asked from one side only
+            back = own[x] != grid[group[0]]
             np.add.at(links, y[back], n[x[back]])
             a.append(x)
             b.append(y)
@@ -210,8 +214,12 @@ def _verify(threshold: float, width: int):
     return kernel
 
 
-def _grid_for(count: int) -> int:
-    return next((k for most, k in GRIDS if count <= most), FINEST)
+def _grid_for(rows: int) -> int:
+    """Codewords per half for a label of so many vectors."""
+    k = COARSEST
+    while k < FINEST and 2 * CELL_ROWS * k * k < rows:
+        k *= 2
+    return k
 
 
 def near_vectors(
@@ -228,13 +236,14 @@ def near_vectors(
         .withColumn("space", F.xxhash64("label", F.length("v"))),
         "vector_classes",
     )
-    count, longest = classes.agg(F.count("*"), F.max(F.length("v"))).first()
+    spaces = classes.groupBy("space").agg(F.count("*").alias("rows"), F.max(F.length("v")).alias("longest"))
+    count, largest, longest = spaces.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.max("rows"), F.max("longest")).first()
     alone = vectors.where(~linkable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not count:
         return _finished(alone)
     width = max(2, longest // 8)
     chosen = classes.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()
-    index = fit_index(_unit([bytes(r["v"]) for r in chosen], width), codewords or _grid_for(count), threshold, recall)
+    index = fit_index(_unit([bytes(r["v"]) for r in chosen], width), codewords or _grid_for(largest), threshold, recall)
     placed = stage(classes.select("space", "cid", "n", "v").mapInPandas(_placed(index, width), _PLACED), "vector_cells")
     cells = placed.withColumn("cell", F.xxhash64("space", "grid"))
     found = stage(compare_in_cells(cells, "cid", _verify(threshold, width), _FOUND, chunk, placed.count()), "vector_links")

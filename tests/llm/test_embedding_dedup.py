@@ -52,6 +52,31 @@ def test_planted_links_are_found(spark):
         assert found >= 0.99 * sum(r[1] for r in want)
 
 
+@pytest.mark.parametrize("codewords", [8, 16, 32, 64])
+def test_recall_of_finer_grids(spark, codewords):
+    """Pairs spread around the threshold, in one label, against all pairs; links are counted on both sides."""
+    rng = np.random.default_rng(codewords)
+    base = rng.standard_normal((900, 32))
+    x = np.concatenate([base + rng.standard_normal(base.shape) * s for s in (0, 0.2, 0.27, 0.3)]).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in E.near_vectors(spark.createDataFrame(rows, SCHEMA), codewords=codewords).collect()}
+    want = near.sum(1)
+    assert all(got[i] <= want[i] for i in range(len(rows)))
+    found = sum(got.values())
+    print("codewords", codewords, "recall", found / want.sum())
+    assert found % 2 == 0 and want.sum() > 1500 and found >= 0.99 * want.sum()
+
+
+def test_the_grid_grows_with_the_largest_label():
+    for rows in (1, 5_000, 40_000, 2_000_000, 100_000_000):
+        k = E._grid_for(rows)
+        assert k == E.COARSEST or E.CELL_ROWS / 2 <= rows / k**2 <= 2 * E.CELL_ROWS
+    assert E._grid_for(10**12) == E.FINEST
+
+
 def test_cases(spark):
     one, near = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.5]
     nan, inf = float("nan"), float("inf")
