@@ -80,3 +80,27 @@ def test_dense_index_across_chunks(spark):
 def test_nan_rows_never_match(spark):
     rows, pairs = results(spark, {"q": ([(float("nan"),)], [[(float("nan"),)]])}, ["double"])
     assert E.ex_ordered(rows, pairs, dedup=False).first()["score"] == 0.0
+
+
+def test_common_keys_add_no_chunk_sizes(spark):
+    """Only a key of more than a chunk of rows is cut; orders far apart cut no other."""
+    cold = spark.range(3000).select((F.col("id") % 100).alias("k"), (F.col("id") * 1_000_003 - 10**9).alias("o"))
+    hot = spark.range(500).select(F.lit(7).cast("bigint").alias("k"), (F.col("id") * 50 + 3).alias("o"))
+    none = spark.range(90).select(F.lit(None).cast("bigint").alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") * 9).alias("o"))
+    frame = cold.unionByName(hot).unionByName(none)
+    assert sorted(r["k"] for r in R.hot_keys(frame, ["k"], 6).collect() if r["k"] is not None) == [7]
+    assert [r["n"] for r in R.with_chunks(frame, F.col("o"), R.hot_keys(frame, ["k"], 6), 6).groupBy("k").agg(F.countDistinct("_chunk").alias("n")).where("k = 5").collect()] == [1]
+    got = R.dense_index(frame, ["k"], F.col("o"), bits=6).orderBy("k", "o").collect()
+    of = lambda k: [r["row_idx"] for r in got if r["k"] == k]
+    assert of(7) == list(range(530)) and of(None) == list(range(45)) and all(of(k) == list(range(30)) for k in (0, 50, 99))
+
+
+@pytest.mark.parametrize("how", ["ordered", "bag"])
+def test_dedup_shuffles_a_row_once(spark, how):
+    """Hot tables aside, rows move once: by their table, not by content and again by place."""
+    rows = R.norm_cells(spark.createDataFrame([("q", "p", 0, i, i % 3, 1) for i in (4, 9, 2, 7)], "query_id string, side string, variant int, row_idx bigint, a int, b int"), ["a", "b"])
+    kept = R.dedup_rows(rows, how)
+    assert [(r["row_idx"], r["cells"][0]["key"]) for r in kept.orderBy("row_idx").collect()] == [(0, "n2"), (1, "n1"), (2, "n0")]
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    few = text[text.index("Union") :].split("min_by")[0]
+    assert few.count("Exchange hashpartitioning(query_id") - few.count("count(1)") // 2 <= 2 and "SortMergeJoin" not in few
