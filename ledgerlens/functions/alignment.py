@@ -23,6 +23,77 @@ def _place(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return outer, inner
 
 
+def _cell_marks(p: pa.ListArray, g: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per side the row of every cell and its mark: a whole number for (pair, key, occurrence in the row). Rows are lists of cell keys."""
+    sides = [_place(x) for x in (p, g)]
+    keys = [x.values.values[inner[outer[0]] : inner[outer[-1]]] for x, (outer, inner) in zip((p, g), sides)]
+    codes = pa.concat_arrays(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = int(codes.max(initial=0)) + 1
+    out = []
+    for own, (outer, inner) in zip((codes[: len(keys[0])], codes[len(keys[0]) :]), sides):
+        widths = np.diff(inner[outer[0] : outer[-1] + 1])
+        row = np.repeat(np.arange(widths.size), widths)
+        pair = np.repeat(np.arange(len(outer) - 1), np.diff(outer))
+        held = row * kinds + own
+        order = np.argsort(held, kind="stable")
+        first = np.flatnonzero(np.diff(held[order], prepend=-1))
+        seen = np.empty(row.size, np.int64)
+        seen[order] = np.arange(row.size) - np.repeat(first, np.diff(first, append=row.size))
+        out.append((row, pair[row] * kinds + own, seen))
+    most = max(int(seen.max(initial=0)) for *_, seen in out) + 1
+    return [(row, mark * most + seen) for row, mark, seen in out]
+
+
+def meetings(p: pa.ListArray, g: pa.ListArray, most: int = _ENTRIES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Meetings of rows in a shared cell, about ``most`` at a time: from and to which prediction row, the prediction row and the expected row of each.
+
+    Rows are numbered through the batch. The marks of the expected rows are an index that the prediction rows look up, so no pair of rows without a shared cell is touched.
+    """
+    (row_p, mark_p), (row_g, mark_g) = _cell_marks(p, g)
+    order = np.argsort(mark_g, kind="stable")
+    index = mark_g[order]
+    low = np.searchsorted(index, mark_p, "left")
+    met = np.searchsorted(index, mark_p, "right") - low
+    rows = int(np.diff(p.offsets.to_numpy()[[0, -1]])[0])
+    edge = np.searchsorted(row_p, np.arange(rows + 1))
+    before = np.concatenate([[0], np.cumsum(met)])[edge]
+    start = 0
+    while start < rows:
+        end = max(start + 1, int(np.searchsorted(before, before[start] + most, "right")) - 1)
+        here = slice(edge[start], edge[end])
+        count = met[here]
+        place = np.repeat(low[here] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        yield start, end, np.repeat(row_p[here], count), row_g[order[place]]
+        start = end
+
+
+def row_overlaps(p: pa.ListArray, g: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each prediction row of the batch: expected rows that share a cell, the most shared cells and the sum of shared cells."""
+    parts = [(np.zeros(0, np.int64),) * 3]
+    rows_g = len(g.values)
+    for start, end, at, other in meetings(p, g):
+        edge, shared = np.unique((at - start) * rows_g + other, return_counts=True)
+        place = edge // max(rows_g, 1)
+        partners = np.bincount(place, minlength=end - start)
+        most = np.zeros(end - start, np.int64)
+        np.maximum.at(most, place, shared)
+        parts.append((partners, most, np.bincount(at - start, minlength=end - start)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def overlap_lines(p: pa.ListArray, g: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The matrices of a batch line by line in one array, and where each line begins and the last one ends."""
+    (rows_p, _), (rows_g, _) = _place(p), _place(g)
+    n, m = np.diff(rows_p), np.diff(rows_g)
+    lines = np.concatenate([[0], np.cumsum(np.repeat(m, n))])
+    first = np.repeat(rows_g[:-1] - rows_g[0], n)
+    out = np.zeros(lines[-1], np.int32)
+    for start, end, at, other in meetings(p, g):
+        low, high = lines[start], lines[end]
+        out[low:high] = np.bincount(lines[at] - low + other - first[at], minlength=high - low)
+    return out, lines
+
+
 def overlaps(p: pa.ListArray, g: pa.ListArray) -> Iterator[np.ndarray]:
     """Shared cells of every row pair, one matrix per pair of tables.
 

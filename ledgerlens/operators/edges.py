@@ -5,19 +5,29 @@ gives the edges: rows of both sides meet on (pair, mark), and the meetings of a
 very often, such as NULL or 0 in a column, would make a meeting of everything with everything. Such heavy marks stay out of the index.
 A row carries its heavy marks as a list, its signature; what two rows share in them follows from their signatures, of which
 there are few, so it is counted by classes of rows with equal signatures and never row by row.
+
+Pairs of common size look up their rows in an index of their own, many pairs in one Arrow task; the shuffled index is for the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import cells as C
+from ledgerlens.functions.alignment import row_overlaps
 from ledgerlens.operators.bipartite import _marks, pair_weight
 from ledgerlens.operators.rows import PAIR
 from ledgerlens.session import stage
 
 #: Meetings of one mark from which on it is heavy.
 HEAVY = 4096
+#: Rows and row pairs up to which a pair is worked out in one task.
+ROWS, NEAR = 1 << 15, 1 << 20
 
 
 def marked_rows(sided: DataFrame) -> DataFrame:
@@ -61,11 +71,29 @@ def sparse_weights(sided: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, Dat
     return edges, classes, rows
 
 
-def row_weights(sided: DataFrame, beta: float = 2.0, heavy: int = HEAVY) -> DataFrame:
-    """For each prediction row: partners (expected rows that share a cell), the best weight and the sum of all weights.
+def _near_weights(sided: DataFrame) -> DataFrame:
+    """(pair, row_idx, p_width, g_width, partners, top, sum) of pairs that fit in a task, many of them per batch."""
 
-    Worked out from edges and classes: row pairs that share heavy marks only are counted, not listed. Pairs without expected rows give zeros.
-    """
+    def rows(side: str) -> list[Column]:
+        held = lambda c: F.collect_list(F.when(F.col("side") == side, c))
+        return [held(F.struct("row_idx", C.ordered_keys(F.col("cells")).alias("keys"))).alias(side)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, g = (pa.ListArray.from_arrays(x.offsets, x.values.field("keys")) for x in (batch.column("p"), batch.column("g")))
+            at = pa.compute.list_parent_indices(batch.column("p"))
+            kept = [batch.column(c).take(at) for c in (*PAIR, "p_width", "g_width")]
+            figures = [pa.array(x, pa.int64()) for x in row_overlaps(p, g)]
+            row_idx = batch.column("p").flatten().field("row_idx")
+            yield pa.RecordBatch.from_arrays([*kept, row_idx, *figures], names=[*PAIR, "p_width", "g_width", "row_idx", "partners", "top", "sum"])
+
+    tables = sided.groupBy(*PAIR).agg(F.max("p_width").alias("p_width"), F.max("g_width").alias("g_width"), *rows("p"), *rows("g"))
+    schema = "query_id string, variant int, p_width int, g_width int, row_idx bigint, partners bigint, top bigint, sum bigint"
+    return tables.select(*PAIR, "p_width", "g_width", "p", "g").mapInArrow(count, schema)
+
+
+def _far_weights(sided: DataFrame, heavy: int) -> DataFrame:
+    """The same of pairs of any size, from edges and classes: row pairs that share heavy marks only are counted, not listed."""
     edges, classes, rows = sparse_weights(sided, heavy)
     both = F.size(F.array_intersect("p_heavy", "g_heavy"))
     listed = edges.withColumn("both", both).groupBy(*PAIR, F.col("p_row").alias("row_idx")).agg(
@@ -75,14 +103,21 @@ def row_weights(sided: DataFrame, beta: float = 2.0, heavy: int = HEAVY) -> Data
         F.sum("g_rows").alias("h_new"), F.max("shared").alias("h_top"), F.sum(F.col("shared") * F.col("g_rows")).alias("h_sum")
     )
     zero = F.lit(0).cast("bigint")
-    value = lambda a, b, join: join(F.coalesce(a, zero), F.coalesce(b, zero))
+    value = lambda a, b, join: join(F.coalesce(a, zero), F.coalesce(b, zero)).cast("bigint")
     plus = lambda a, b: a + b
-    weight = lambda shared: pair_weight(shared, F.col("p_width"), F.col("g_width"), beta)
-    return (
-        rows.where("side = 'p'")
-        .join(listed, [*PAIR, "row_idx"], "left")
-        .join(held, [*PAIR, "heavy"], "left")
-        .select(
-            *PAIR, "row_idx", value("new", "h_new", plus).cast("bigint").alias("partners"), weight(value("top", "h_top", F.greatest)).alias("best"), weight(value("sum", "h_sum", plus)).alias("total")
-        )
-    )
+    figures = [value("new", "h_new", plus).alias("partners"), value("top", "h_top", F.greatest).alias("top"), value("sum", "h_sum", plus).alias("sum")]
+    whole = rows.where("side = 'p'").join(listed, [*PAIR, "row_idx"], "left").join(held, [*PAIR, "heavy"], "left")
+    return whole.select(*PAIR, "p_width", "g_width", "row_idx", *figures)
+
+
+def row_weights(sided: DataFrame, beta: float = 2.0, heavy: int = HEAVY, pairs: DataFrame | None = None, near: int = NEAR) -> DataFrame:
+    """For each prediction row: partners (expected rows that share a cell), the best weight and the sum of all weights.
+
+    Pairs of at most ``near`` row pairs are worked out in one task each, larger ones from edges that meet by shuffles. Pairs without expected rows give zeros.
+    """
+    small = (F.col("n") * F.col("m") <= near) & (F.col("n") + F.col("m") <= ROWS)
+    found = _near_weights(sided.where(small))
+    if not (sided if pairs is None else pairs).where(~small).isEmpty():
+        found = found.unionByName(_far_weights(sided.where(~small), heavy))
+    weight = lambda shared: pair_weight(F.col(shared), F.col("p_width"), F.col("g_width"), beta)
+    return found.select(*PAIR, "row_idx", "partners", weight("top").alias("best"), weight("sum").alias("total"))

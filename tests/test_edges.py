@@ -47,3 +47,20 @@ def test_a_value_in_every_row_makes_no_pairs(spark):
     assert edges.count() == 3000 and classes.count() == 1
     weights = E.row_weights(R.pair_sides(rows, pairs)).agg({"partners": "min", "best": "min", "total": "max"}).first()
     assert weights["min(partners)"] == 3000 and weights["min(best)"] == 1.0 and weights["max(total)"] == pytest.approx((2 * 3000 + 1) / 3)
+
+
+def test_large_and_common_pairs_have_equal_weights(spark):
+    """Pairs worked out in one task and from shuffled edges, next to each other and each alone."""
+    rnd = random.Random(3)
+    row = lambda: (rnd.choice([0, None, rnd.randrange(9)]), rnd.choice([0, rnd.randrange(4)]), rnd.randrange(20))
+    cases = {f"q{k}": ([row() for _ in range(k)], [[row() for _ in range(9 - k)], []]) for k in range(1, 9)}
+    rows, pairs = results(spark, cases, ["int", "int", "int"])
+    sided = R.pair_sides(rows, pairs)
+    found = [sorted(map(tuple, E.row_weights(sided, heavy=6, pairs=pairs, near=near).collect())) for near in (E.NEAR, 16, -1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * sum(range(1, 9))
+
+
+def test_common_pairs_shuffle_no_marks(spark):
+    rows, pairs = results(spark, {"q": ([(1, 2)], [[(1, 3)]])}, ["int", "int"])
+    text = E.row_weights(R.pair_sides(rows, pairs), pairs=pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mark" not in text and "MapInArrow" in text
