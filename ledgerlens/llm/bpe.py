@@ -1,7 +1,8 @@
 """Byte-level BPE over the distinct words of all documents, and back.
 
-1. Documents are cut into pre-tokens where they lie. A block of documents (bounded by characters) numbers its
+1. Documents are cut into pre-tokens where they lie. A block of documents (bounded by characters and by distinct words) numbers its
    distinct words by falling frequency and keeps its documents as lists of word numbers: the positions. Both are packed and written once to the shared folder.
+   A task holds the distinct words of every ``STEP`` words and four bytes an occurrence, not the words themselves.
 2. The words of all blocks meet in one shuffle, packed and sorted by shard (a hash of the word decides). Each distinct word is encoded once; what goes back
    to a block are the ids in the order of its words; the block keeps the numbers in that order.
 3. Each block reassembles its documents by position, and decodes their ids by the token-byte table (as large as the vocabulary).
@@ -36,6 +37,10 @@ from ledgerlens.session import stage
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a block of documents.
 BLOCK_CHARS = 32_000_000
+#: Words of a text that are numbered at a time.
+STEP = 200_000
+#: Words held, distinct ones of each step, that end a block before its characters do.
+BLOCK_WORDS = 4_000_000
 #: Least number of shards of the words.
 SHARDS = 256
 #: Effort of the compression of packed numbers.
@@ -172,14 +177,15 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def pack_places(places: np.ndarray) -> bytes:
     """Small numbers, the frequent ones, in one byte; what is above seven bits in a second list."""
     large = places >= 128
-    return pack(np.where(large, 128 | (places & 127), places).astype(np.uint8), places[large] >> 7)
+    low = places.astype(np.uint8)  # the lowest eight bits
+    low[large] |= 128
+    return pack(low, places[large] >> 7)
 
 
 def unpack_places(data: bytes) -> np.ndarray:
     low, high = unpack(data)
-    places = low.astype(np.int64)
-    large = low >= 128
-    places[large] = (places[large] & 127) | (high.astype(np.int64) << 7)
+    places = (low & 127).astype(np.int32)
+    places[low >= 128] |= high.astype(np.int32) << 7
     return places
 
 
@@ -191,24 +197,33 @@ _PARTS = "block bigint, shard int, doc_ids array<bigint>, sizes array<bigint>, p
 def _cut(pattern: str, shards: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = splitter(pattern).findall
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size, held = TaskContext.get().partitionId() << 32, 0, 0
         ids: list[int | None] = []
         sizes: list[int] = []
         waiting: list[str] = []
-        parts: list[pa.Array] = []
+        parts: list[pa.Array] = []  # of a step each: its distinct words, and the number of every word
+
+        def settle() -> int:
+            parts.append(pa.array(waiting, pa.large_string()).dictionary_encode())
+            waiting.clear()
+            return len(parts[-1].dictionary)
 
         def emit() -> Iterator[pa.RecordBatch]:
-            coded = pa.concat_arrays([*parts, pa.array(waiting, pa.large_string())]).dictionary_encode()
-            places = coded.indices.to_numpy().astype(np.int64)
-            count = np.bincount(places, minlength=len(coded.dictionary))
+            settle()
+            steps = pa.chunked_array(parts).unify_dictionaries().chunks
+            parts.clear()
+            words = steps[0].dictionary.cast(pa.large_binary())
+            count = sum(np.bincount(step.indices.to_numpy(), minlength=len(words)) for step in steps)
             order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), dtype=np.int64)
+            rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(len(order))
-            words = coded.dictionary.cast(pa.large_binary())
-            shard = np.fromiter((zlib.crc32(w) % shards for w in words.to_pylist()), dtype=np.int64, count=len(words))
+            places = np.concatenate([rank[step.indices.to_numpy()] for step in steps])
+            del steps
+            pa.default_memory_pool().release_unused()
+            shard = np.fromiter((zlib.crc32(w.as_buffer()) % shards for w in words), dtype=np.int64, count=len(words))
             asked = pc.sort_indices(words).to_numpy().astype(np.int64)
             asked = asked[np.argsort(shard[asked], kind="stable")]  # by shard, then by word
-            yield batch_of(None, list(ids), list(sizes), pack_places(rank[places]), pack(rank[asked]), None)
+            yield batch_of(None, list(ids), list(sizes), pack_places(places), pack(rank[asked]), None)
             words, shard = words.take(pa.array(asked)), shard[asked]
             edge = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
             letters = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
@@ -228,14 +243,13 @@ def _cut(pattern: str, shards: int):
                 sizes.append(len(words))
                 waiting += words
                 size += len(text or "")
-                if len(waiting) >= 1_000_000:
-                    parts.append(pa.array(waiting, pa.large_string()))
-                    waiting.clear()
-                if size >= BLOCK_CHARS:
+                if len(waiting) >= STEP:
+                    held += settle()
+                if size >= BLOCK_CHARS or held >= BLOCK_WORDS:
                     yield from emit()
-                    block, size = block + 1, 0
-                    for held in (ids, sizes, waiting, parts):
-                        held.clear()
+                    block, size, held = block + 1, 0, 0
+                    ids.clear()
+                    sizes.clear()
         if ids:
             yield from emit()
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import bpe
@@ -82,3 +84,53 @@ def test_many_blocks(spark, library):
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
     assert got == {d: library.encode_ordinary(t) for d, t in rows}
     assert {r["doc_id"]: r["n"] for r in bpe.token_counts(docs).collect()} == {d: len(ids) for d, ids in got.items()}
+
+
+class Task:
+    """Stands for the task that cuts, outside of Spark."""
+
+    get = staticmethod(lambda: Task)
+    partitionId = staticmethod(lambda: 0)
+
+
+def cut_here(monkeypatch, texts):
+    monkeypatch.setattr(bpe, "TaskContext", Task)
+    batches = (pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": pa.array([t], pa.string())}) for i, t in enumerate(texts))
+    return bpe._cut(P.PATTERN, 4)(batches)
+
+
+def test_a_block_in_the_making_is_small(monkeypatch):
+    """Two million words of one block take less than 30 bytes each while they are cut, numbered and packed."""
+    text = "".join(f" w{i}" for i in range(1000))
+    before, own = pa.default_memory_pool(), pa.proxy_memory_pool(pa.system_memory_pool())
+    bpe.splitter(P.PATTERN)
+    pa.set_memory_pool(own)
+    tracemalloc.start()
+    try:
+        blocks = {row["block"][0].as_py() for row in cut_here(monkeypatch, (text for _ in range(1000)))}
+        taken = tracemalloc.get_traced_memory()[1] + own.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert blocks == {0}
+    assert taken < 30 * 2_000_000, taken
+
+
+def test_new_words_end_a_block(monkeypatch):
+    """A block of nothing but new words ends before it has all its characters; every word is still there once a block."""
+    monkeypatch.setattr(bpe, "STEP", 10)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 20)
+    texts = ["".join(f" {a}{'bcdefghij'[k]}" for a in "klmnopqrstuv") for k in range(9)]
+    rows = [r for batch in cut_here(monkeypatch, texts) for r in batch.to_pylist()]
+    docs = [r["doc_ids"] for r in rows if r["shard"] is None]
+    assert docs == [[0, 1], [2, 3], [4, 5], [6, 7], [8]]
+    for r in (r for r in rows if r["shard"] is None):
+        held = b"".join(bpe.unpack(x["words"])[1].tobytes() for x in rows if x["block"] == r["block"] and x["shard"] is not None)
+        assert sorted(held.split()) == sorted(w.encode() for d in r["doc_ids"] for w in texts[d].split())
+        assert sorted(bpe.unpack_places(r["places"])) == list(range(sum(r["sizes"])))
+
+
+def test_places_of_any_size():
+    places = np.array([0, 1, 127, 128, 129, 255, 256, 300, 16_383, 16_384, 2**24, 2**31 - 1], dtype=np.int32)
+    assert bpe.unpack_places(bpe.pack_places(places)).tolist() == places.tolist()
+    assert bpe.unpack_places(bpe.pack_places(places[:0])).tolist() == []
